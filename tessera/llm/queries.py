@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, neardup, splitting
+from tessera.llm import canonical, neardup, neighbours, splitting
 from tessera.sources.tables import table
 
 
@@ -25,6 +25,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks").select("id", "content", "start_line"), limit=limit, overlap=overlap)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("id", "embedding")
+    return neighbours.similar_pairs(neighbours.nearest_neighbours(chunks, least=0.9, recall=0.98), 0.9)
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, d, "chunks").select("id", "embedding"))
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = table(spark, d, "chunks").select("id", "content")
     return neardup.near_duplicates(chunks, "id", "content", words=3, threshold=0.6, least=40)
@@ -46,7 +55,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_groups, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_neighbours, p7_found, p7_groups, p10_found, p10_canonical)}
 
 ORACLE_SQL = {
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
