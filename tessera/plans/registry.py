@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import references
+
+QUERIES = {**references.QUERIES}
+ORACLE_SQL = {**references.ORACLE_SQL}
