@@ -193,7 +193,7 @@ def _router_job(router, probes: int, dim: int):
 
 def _search_job(dim: int, k: int, least: float | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, ask = pdf[~pdf["ask"]], pdf[pdf["ask"]]
+        base, ask = pdf[pdf["base"]], pdf[pdf["ask"]]
         empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float32")})
         if not len(base) or not len(ask):
             return empty
@@ -249,15 +249,19 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
     probes = calibrate(router, x, k, recall, least) if len(x) > k else router.parts
     shared = spark.sparkContext.broadcast(router)
     routed = materialize(reps.mapInPandas(_router_job(shared, probes, dim), "id long, u binary, parts array<int>"), "routed")
-    own = routed.select("id", "u", F.col("parts")[0].alias("part"))
-    asked = routed.select("id", "u", F.explode("parts").alias("part"))
-    # at most MOST_PARTS rows each
-    sizes = {r["part"]: r["n"] for r in own.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asks = {r["part"]: r["n"] for r in routed.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = spark.createDataFrame([(int(p), math.ceil(m / BLOCK), math.ceil(asks.get(p, 1) / QUERIES)) for p, m in sizes.items()] or [(0, 1, 1)], "part int, nb int, nq int")
-    base = own.join(F.broadcast(blocks), "part").select("id", "u", F.lit(False).alias("ask"), "part", F.pmod(F.xxhash64("id"), F.col("nb")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
-    ask = asked.join(F.broadcast(blocks), "part").select("id", "u", F.lit(True).alias("ask"), "part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1).cast("array<long>")).alias("b"), F.pmod(F.xxhash64("id"), F.col("nq")).cast("int").alias("q"))
-    hits = base.unionByName(ask).groupBy("part", "b", "q").applyInPandas(_search_job(dim, k, least), "id long, other long, cosine float")
+    # index entries and queries per part: at most MOST_PARTS rows
+    spread = routed.select(F.posexplode("parts").alias("nth", "part")).groupBy("part").agg(F.count_if(F.col("nth") == 0).alias("n"), F.count(F.lit(1)).alias("asks")).collect()
+    blocks = spark.createDataFrame([(int(r["part"]), max(1, math.ceil(r["n"] / BLOCK)), max(1, math.ceil(r["asks"] / QUERIES))) for r in spread if r["n"]] or [(0, 1, 1)], "part int, nb int, nq int")
+    # a part is cut into nb blocks of entries and nq blocks of queries, which meet pairwise; a vector in its own part is both
+    h = F.xxhash64("id")
+    sent = (
+        routed.select("id", "u", F.posexplode("parts").alias("nth", "part")).join(F.broadcast(blocks), "part")
+        .withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nb") * F.col("nq") - 1)))
+        .withColumn("base", (F.col("nth") == 0) & (F.floor(F.col("bq") / F.col("nq")) == F.pmod(h, F.col("nb"))))
+        .withColumn("ask", F.col("bq") % F.col("nq") == F.pmod(F.shiftright(h, 20), F.col("nq")))
+        .filter("base or ask").select("id", "u", "base", "ask", "part", "bq")
+    )
+    hits = sent.groupBy("part", "bq").applyInPandas(_search_job(dim, k, least), "id long, other long, cosine float")
     near = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k).select("id", "other", "cosine")
     # back from classes to records
     few = ranked.filter(F.col("nth") <= k + 1).select("rep", F.col("id").alias("other"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, neardup, neighbours, splitting
+from tessera.llm import canonical, credentials, neardup, neighbours, splitting
 from tessera.sources.tables import table
 
 
@@ -14,6 +14,15 @@ def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
     return int(r["capacity"]), int(r["overlap_size"])
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = credentials.find_credentials(table(spark, d, "chunks").select("id", "content"))
+    return found.select(F.col("id").alias("chunk_id"), "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redact_credentials(table(spark, d, "chunks").select("id", "content").dropDuplicates(["id"]))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = _limit(spark, d, "chunk_piece")
     pieces = splitting.split_oversized(table(spark, d, "chunks").select("id", "content", "start_line"), limit=limit, overlap=overlap)
@@ -27,7 +36,7 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "embedding")
-    return neighbours.similar_pairs(neighbours.nearest_neighbours(chunks, least=0.9, recall=0.98), 0.9)
+    return neighbours.similar_pairs(neighbours.nearest_neighbours(chunks, least=0.9), 0.9)
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +64,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_neighbours, p7_found, p7_groups, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pieces, p4_found, p4_neighbours, p7_found, p7_groups, p10_found, p10_canonical)}
 
 ORACLE_SQL = {
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
