@@ -259,9 +259,10 @@ def _go_lines(g: Grammar):
 # --- Java ---
 
 JAVA = Grammar("""
-File = ( Anno* 'package' Qual ';' )? ( 'import' 'static'? Qual ( '.' '*' )? ';' | ';' )* Type* ;
+File = ( Anno* 'package' Qual ';' )? ( 'import' 'static'? Qual ( '.' '*' )? ';' | 'import' 'module' Qual ';' | ';' )* ( Type | @compact Top )* ;
+Top = Mod* TParams? ( 'void' | Ref ) Id paren(Params) Dims Throws? brace(Stmts) | Mod* Ref Vars ';' ;
 Qual = Id ( '.' Id )* ;
-Id = ID | 'record' | 'sealed' | 'permits' | 'yield' | 'var' ;
+Id = ID | 'module' | 'record' | 'sealed' | 'permits' | 'yield' | 'var' ;
 Type = ';' | Mod* Kind ;
 Kind = 'class' Id TParams? ( 'extends' Ref )? ( 'implements' Refs )? ( 'permits' Refs )? brace(Body) | 'interface' Id TParams? ( 'extends' Refs )? ( 'permits' Refs )? brace(Body)
   | 'enum' Id ( 'implements' Refs )? brace(EnumBody) | 'record' Id TParams? paren(Params) ( 'implements' Refs )? brace(Body) | '@' 'interface' Id brace(Body) ;
@@ -319,7 +320,7 @@ Tail = '.' TArgs? ( Id | 'class' | 'this' | 'super' | 'new' Base paren(Args) bra
 Args = ( Expr ( ',' Expr )* )? ;
 Prim = Id | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | paren(Expr) | 'new' Anno* Base paren(Args) brace(Body)? | 'new' Base ( brack(Expr) | brack(None) )+ brace(Inits)? | Ref '.' 'class' | 'void' '.' 'class' | Ref '::' ( Id | 'new' )
   | 'switch' paren(Expr) brace(Cases) ;
-""", ["java"], "File", _CLASSES, ("Stmt", "Member"))
+""", ["java", "compact"], "File", _CLASSES, ("Stmt", "Member"))
 _JAVA_OPS = {BIN: ["==", "!=", "<=", ">=", "&&", "||", "<<", "%", "^"], AUG: ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="]}
 _JAVA_TRIVIA = _trivia(r'(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>"""(?:\\.|.)*?"""|' + _C_STR + r"|'(?:\\[^\n][^'\n]*|[^'\\\n])')|(?P<x>[\"'`]|/\*)")
 
@@ -627,7 +628,7 @@ def _register() -> None:
         javascript=(js, JS.dialects["js"]),
         typescript=(js, JS.dialects["ts"]),
         go=(Lexer(GO, _GO_TRIVIA, _GO_OPS, _go_lines(GO)), 1),
-        java=(Lexer(JAVA, _JAVA_TRIVIA, _JAVA_OPS), 1),
+        java=(Lexer(JAVA, _JAVA_TRIVIA, _JAVA_OPS), JAVA.all),
         cpp=(Lexer(CPP, _CPP_TRIVIA, _CPP_OPS), 1),
         rust=(_Rust(RUST, _RUST_TRIVIA, _RUST_OPS), 1),
         python=(_Python(PYTHON, _PY_TRIVIA, _PY_OPS), PYTHON.all),

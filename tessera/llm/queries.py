@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, credentials, neardup, neighbours, splitting
+from tessera.llm import canonical, credentials, neardup, neighbours, splitting, syntax
 from tessera.sources.tables import table
 
 
@@ -23,6 +23,18 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, d, "chunks").select("id", "content").dropDuplicates(["id"]))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.judged_files(table(spark, d, "files").select("id", "path", "project_root"), table(spark, d, "chunks").select("id", "file_id", "start_line", "content"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).filter("not valid").select("file_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.parse_rates(_judged(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = _limit(spark, d, "chunk_piece")
     pieces = splitting.split_oversized(table(spark, d, "chunks").select("id", "content", "start_line"), limit=limit, overlap=overlap)
@@ -64,7 +76,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pieces, p4_found, p4_neighbours, p7_found, p7_groups, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p7_found, p7_groups, p10_found, p10_canonical)}
 
 ORACLE_SQL = {
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
