@@ -157,49 +157,79 @@ class Grammar:
                         null[k] |= empty
                         changed = True
         self.first, self.null = first, null
+        # what an alternative can begin with; None if it can be empty
+        self.alt_first: list[list[set | None]] = []
+        for alts in self.alts:
+            own = []
+            for slot, _ in alts:
+                f: set | None = set()
+                while f is not None:
+                    kind, a = self.kind[slot], self.arg[slot]
+                    if not kind:
+                        f = None
+                        break
+                    f |= {a} if kind == "t" else {a[0]} if kind == "g" else first[a]
+                    if kind in "tg" or kind == "n" and not null[a]:
+                        break
+                    slot += 1
+                own.append(f)
+            self.alt_first.append(own)
+        self._picked: dict = {}
 
     # --- recognition ---
 
     def _run(self, goals: list[int], s: str, at: int) -> tuple[list[dict[int, int]], int]:
         """For each goal the ends of its derivations from ``at`` with their dialects; and how far the text was read.
         ``s`` ends in a character that no terminal matches."""
-        kind, arg, alts, first, null, group, kept = self.kind, self.arg, self.alts, self.first, self.null, self.group, self.kept
+        kind, arg, first, null, group, kept, picked = self.kind, self.arg, self.first, self.null, self.group, self.kept, self._picked
+        wide = len(kind)
         nodes: dict = {}
-        seen: dict = {}
         todo: list = []
         far = at
 
-        def node(n: int, i: int):
-            v = nodes.get((n, i))
-            if v is None:
-                v = nodes[n, i] = ({}, {}, len(nodes))
-                for slot, mask in alts[n]:
-                    todo.append((slot, v, i, mask))
+        def node(n: int, i: int, c: str):
+            v = nodes[n, i] = ({}, {}, {}, len(nodes))  # ends, returns, descriptors seen, number
+            some = picked.get((n, c))
+            if some is None:
+                some = picked[n, c] = [(slot, mask) for (slot, mask), f in zip(self.alts[n], self.alt_first[n]) if f is None or c in f]
+            for slot, mask in some:
+                todo.append((slot, v, i, mask))
             return v
 
-        roots = [node(g, at) for g in goals]
+        c = s[at]
+        g = group.get(c)
+        roots = [node(n, at, g[0] if g else c) for n in goals]
         while todo:
             slot, top, i, mask = todo.pop()
+            k = slot + i * wide
+            old = top[2].get(k, 0)
+            mask &= ~old
+            if not mask:
+                continue
+            top[2][k] = old | mask
             while True:
-                k = (slot, top[2], i)
-                old = seen.get(k, 0)
-                mask &= ~old
-                if not mask:
-                    break
-                seen[k] = old | mask
                 what = kind[slot]
+                if what == "":
+                    ends = top[0]
+                    was = ends.get(i, 0)
+                    new = mask & ~was
+                    if new:
+                        ends[i] = was | new
+                        for r, (rn, rm) in top[1].items():
+                            if rm & new:
+                                todo.append((r[0], rn, i, rm & new))
+                    break
+                if i >= far:
+                    far = i + 1
+                c = s[i]
                 if what == "t":
-                    if i >= far:
-                        far = i + 1
-                    if s[i] != arg[slot]:
+                    if c != arg[slot]:
                         break
                     slot += 1
                     i += 1
                     continue
+                g = group.get(c)
                 if what == "g":
-                    if i >= far:
-                        far = i + 1
-                    g = group.get(s[i])
                     if g is None or g[0] != arg[slot][0]:
                         break
                     mask &= g[1].get(arg[slot][1], 0)
@@ -208,39 +238,29 @@ class Grammar:
                     slot += 1
                     i += 1
                     continue
-                if what == "":
-                    ends, back = top[0], top[1]
-                    new = mask & ~ends.get(i, 0)
-                    if new:
-                        ends[i] = ends.get(i, 0) | new
-                        for (rs, _), (rn, rm) in back.items():
-                            if rm & new:
-                                todo.append((rs, rn, i, rm & new))
-                    break
                 n = arg[slot]
-                to = slot if what == "*" else slot + 1
-                if what != "n":
-                    todo.append((slot + 1, top, i, mask))
-                if i >= far:
-                    far = i + 1
-                c = s[i]
-                if c in group:
-                    c = group[c][0]
+                if g is not None:
+                    c = g[0]
                 if c not in first[n]:
-                    if null[n] and what == "n":
+                    if what != "n" or null[n]:
                         slot += 1
                         continue
                     break
-                if n in kept and (n, i) not in nodes:
-                    ends, read = self._known(n, s, i)
-                    if read > far:
-                        far = read
-                    for e, m in ends:
-                        if m & mask:
-                            todo.append((to, top, e, m & mask))
-                    break
-                v = node(n, i)
-                r = (to, top[2])
+                to = slot if what == "*" else slot + 1
+                if what != "n" or null[n]:
+                    todo.append((slot + 1, top, i, mask))
+                v = nodes.get((n, i))
+                if v is None:
+                    if n in kept:
+                        ends, read = self._known(n, s, i)
+                        if read > far:
+                            far = read
+                        for e, m in ends:
+                            if m & mask:
+                                todo.append((to, top, e, m & mask))
+                        break
+                    v = node(n, i, c)
+                r = (to, top[3])
                 was = v[1].get(r)
                 v[1][r] = (top, mask | was[1] if was else mask)
                 for e, m in v[0].items():

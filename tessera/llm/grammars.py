@@ -14,23 +14,43 @@ from tessera.llm.gll import Grammar
 
 ID, NUM, STR, BIN, AUG, LF = "a", "0", '"', "B", "A", "N"
 _CLASSES = {"ID": ID, "NUM": NUM, "STR": STR, "BIN": BIN, "AUG": AUG, "LF": LF}
-_WORD = re.compile(r"(\.?\d(?:[eEpP][+-]\d|[\w.'])*)|[A-Za-z_$\x80-\U0010ffff][\w$]*")
+_NUMBER, _WORD = r"\.?\d(?:[eEpP][+-]\d|[\w.'])*", r"[A-Za-z_$\x80-\U0010ffff][\w$]*"
+#: Different tokens that a lexer remembers; beyond, it starts afresh.
+_KNOWN = 500_000
 
 
 def _trivia(pattern: str, flags: int = 0) -> re.Pattern:
     return re.compile(pattern, flags | re.S | re.M)
 
 
-class Lexer:
-    """Strings and comments by ``trivia`` (group c: comment, s: string, others: wrong), then words, then operators."""
+class Lexer(dict):
+    """Strings and comments by ``trivia`` (group c: comment, s: string, others: wrong), then words, then operators.
 
-    def __init__(self, grammar: Grammar, trivia: re.Pattern, ops: dict[str, list[str]], lines: Callable[[str], str] | None = None, clean=None, number: str = "'"):
-        self.grammar, self.trivia, self.lines, self.clean = grammar, trivia, lines, clean
+    As a dictionary it has the character of each token met so far."""
+
+    space = r"\n"
+
+    def __init__(self, grammar: Grammar, trivia: re.Pattern, ops: dict[str, list[str]], lines: Callable[[str], str] | None = None):
+        super().__init__()
+        self.grammar, self.trivia, self.lines = grammar, trivia, lines
         self.words = {w: c for w, c in grammar.literals.items() if w[0].isalpha()}
         table = {o: c for c, os in ops.items() for o in os}
-        table |= {w: c for w, c in grammar.literals.items() if not w[0].isalpha() and len(w) > 1}
-        self.ops = table
-        self.op = re.compile("|".join(map(re.escape, sorted(table, key=len, reverse=True)))) if table else None
+        self.ops = table | {w: c for w, c in grammar.literals.items() if not w[0].isalpha() and len(w) > 1}
+        several = sorted((o for o in self.ops), key=len, reverse=True)
+        self.split = re.compile("|".join([_NUMBER, _WORD, *map(re.escape, several), self.space, r"\S"])).findall
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > _KNOWN:
+            self.clear()
+        c = self[t] = self.ops.get(t) or self._class(t)
+        return c
+
+    def _class(self, t: str) -> str:
+        if t[0].isdigit() or (t[0] == "." and t[1:2].isdigit()):
+            return NUM
+        if t[0].isspace() or (len(t) == 1 and not (t.isalnum() or t in "_$" or t >= "\x80")):
+            return t
+        return self.words.get(t, ID)
 
     def _piece(self, m: re.Match) -> str:
         k = m.lastgroup
@@ -39,31 +59,20 @@ class Lexer:
             return "\n" if "\n" in t else " "
         if k == "s":
             return STR
-        if k == "p":  # something before a string that belongs to the text
-            return m.group("p") + STR
-        if k == "k":
-            return t
-        return "\1"
-
-    def _word(self, m: re.Match) -> str:
-        if m.group(1):
-            return NUM
-        return self.words.get(m.group(), ID)
+        if k == "p":  # begins with what stands before the literal
+            return t[: t.index("/")] + STR
+        return t if k == "k" else "\1"
 
     def tokens(self, text: str) -> str | None:
         s = self.trivia.sub(self._piece, text)
         if "\1" in s:
             return None
-        s = _WORD.sub(self._word, s)
-        if self.op:
-            s = self.op.sub(lambda m: self.ops[m.group()], s)
-        if self.lines:
-            s = self.lines(s)
-        return None if s is None else s if "\n" in s and self.clean else re.sub(r"\s+", "", s)
+        s = "".join(map(self.__getitem__, self.split(s)))
+        return self.lines(s) if self.lines else s.replace("\n", "")
 
     def dialects(self, text: str) -> int:
         s = self.tokens(text)
-        return 0 if s is None else self.grammar.accepts(self.grammar.reduce(s, self.clean))
+        return 0 if s is None else self.grammar.accepts(self.grammar.reduce(s))
 
 
 # --- JSON ---
@@ -79,8 +88,9 @@ _JSON_NUM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\Z")
 
 
 class _Json(Lexer):
-    def _word(self, m):
-        return (NUM if _JSON_NUM.match(m.group()) else "\2") if m.group(1) else self.words.get(m.group(), "\2")
+    def _class(self, t):
+        c = super()._class(t)
+        return "\2" if c == ID or (c == NUM and not _JSON_NUM.match(t)) else c
 
 
 # --- JavaScript and TypeScript ---
@@ -168,7 +178,7 @@ Enum = Key ( '=' Expr )? ;
 # the last statement of a block, of a file and of a class needs no terminator
 _JS = _JS.replace("Stmts = Stmt* ;", "Stmts = Stmt* Simple? ;").replace("File = Stmt* ;", "File = Stmt* Simple? ;").replace("Last = Simple ;\n", "")
 _JS = _JS.replace("ClassBody = Member* ;", "ClassBody = Member* LastMember? ;")
-JS = Grammar(_JS, ["js", "ts"], "File", _CLASSES, ("Stmt", "Member"))
+JS = Grammar(_JS, ["js", "ts"], "File", _CLASSES, ("Stmt", "Simple", "Member", "LastMember"))
 _C_STR = r'"(?:\\.|[^"\\\n])*"'
 _JS_TRIVIA = _trivia(
     r"(?P<c>//[^\n]*|/\*.*?\*/|\A\#![^\n]*)|(?P<s>" + _C_STR + r"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"
@@ -362,7 +372,7 @@ Inner = Ptr+ Qual? Suffix* | Qual '::' '*' Qual Suffix* ;
 Suffix = brack(Opt) | paren(Params) FTail* ;
 Opt = Expr? ;
 Init = '=' IVal | brace(IVals) | paren(Args) | '=' ( 'default' | 'delete' ) ;
-IVal = Expr | brace(IVals) ;
+IVal = Asg | brace(IVals) ;
 IVals = ( Item ( ',' Item )* ','? )? ;
 Item = ( '.' ID '=' | brack(Expr) '=' )? IVal '...'? ;
 Func = ( Qual | '~' ID | Oper | Qual '::' '~' ID ) paren(Params) FTail* ( ':' Inits )? 'try'? brace(Stmts) Catch* | ( '~' ID | Oper | ID ) paren(Params) FTail* ( '=' ( NUM | 'default' | 'delete' ) )? ';' ;
@@ -373,7 +383,7 @@ MInit = Qual ( paren(Args) | brace(IVals) ) '...'? ;
 Params = ( Param ( ',' Param )* ( ',' '...' )? | '...' )? ;
 Param = Attr? Type '...'? ( ID | paren(Inner) | 'this' )? Suffix* ( '=' IVal )? ;
 Stmts = Stmt* ;
-Stmt = ';' | Expr ';' | Local | brace(Stmts) | 'if' 'constexpr'? paren(Head) Stmt ( 'else' Stmt )? | 'while' paren(Head) Stmt | 'do' Stmt 'while' paren(Expr) ';' | 'for' paren(ForHead) Stmt | 'return' IVal? ';' | 'co_return' Expr? ';'
+Stmt = ';' | Expr ';' | Local | brace(Stmts) | 'if' 'constexpr'? paren(Head) Stmt ( 'else' Stmt )? | 'while' paren(Head) Stmt | 'do' Stmt 'while' paren(Expr) ';' | 'for' paren(ForHead) Stmt | 'return' ( Expr | brace(IVals) )? ';' | 'co_return' Expr? ';'
   | 'break' ';' | 'continue' ';' | 'goto' ID ';' | 'try' brace(Stmts) Catch+ | 'switch' paren(Head) Stmt | 'case' Cond ( '...' Cond )? ':' | 'default' ':' | ID ':' | 'static_assert' paren(Args) ';' | Attr Stmt ;
 Local = Spec* Class Spec* Dectors? ';' | Spec* Enum Dectors? ';' | Spec* Base Spec* Dectors ';' | 'using' ( 'namespace' | 'typename' )? Qual ( '=' Type )? ';' ;
 Catch = 'catch' paren(Caught) brace(Stmts) ;
@@ -441,7 +451,8 @@ Path = '::'? PSeg ( '::' PSeg )* ;
 PSeg = Seg ( '::'? Args )? | Seg paren(Tuple) ( '->' Type )? ;
 Args = '<' ( GArg ( ',' GArg )* ','? )? '>' ;
 GArg = Type | LIFE | ID Args? ( '=' Type | ':' Bounds ) | brace(Block) | '-'? NUM | STR ;
-Block = InAttr* Stmt* Expr? ;
+Block = InAttr* Stmt* Last? ;
+Last = Expr ;
 Stmt = ';' | Attr* Let | Item | Attr* Expr ';' | Attr* Blocky ;
 Let = 'let' Pat ( ':' Type )? ( '=' Expr ( 'else' brace(Block) )? )? ';' ;
 Label = LIFE ':' ;
@@ -479,7 +490,7 @@ Tail = '.' ( ID ( '::' Args )? | NUM | 'await' ) | paren(EList) | brack(Expr) |
 EList = ( Attr* Expr ( ',' Attr* Expr )* ','? )? ;
 EArr = EList | Expr ';' Expr ;
 Prim = EPath | EPath '!' ( paren(Tokens) | brack(Tokens) | brace(Tokens) ) | NUM | STR | 'true' | 'false' | paren(EList) | brack(EArr) | Blocky ;
-""", ["rust"], "File", _CLASSES | {"LIFE": "L"}, ("Stmt", "Item"))
+""", ["rust"], "File", _CLASSES | {"LIFE": "L"}, ("Stmt", "Item", "Last"))
 _RUST_OPS = {BIN: ["==", "!=", "<=", ">=", "<<", "%"], AUG: ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="]}
 _RUST_TRIVIA = _trivia(
     r"(?P<c>//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/)"
@@ -491,9 +502,8 @@ class _Rust(Lexer):
     def _piece(self, m):
         return " \2 " if m.lastgroup == "l" else super()._piece(m)
 
-    def tokens(self, text):
-        s = super().tokens(text)
-        return s and s.replace("\2", "L")
+    def _class(self, t):
+        return "L" if t == "\2" else super()._class(t)
 
 
 # --- Python ---
@@ -578,26 +588,27 @@ _SPACE = re.compile(r"\s+")
 class _Python(Lexer):
     """Brackets are reduced before lines are cut; indented blocks then become brace groups."""
 
+    space = r"\n[ \t]*|\A[ \t]+"
+
     def _piece(self, m):
         t = m.group()
         if m.lastgroup == "c":
             return " "
-        return "T" if m.lastgroup == "t" else STR if m.lastgroup == "s" else "\1"
+        return " \2 " if m.lastgroup == "t" else STR if m.lastgroup == "s" else "\1"
 
-    def _word(self, m):
-        w = m.group()
-        return NUM if m.group(1) else "T" if w == "T" else self.words.get(w, ID)
+    def _class(self, t):
+        return "T" if t == "\2" else super()._class(t)
 
     def dialects(self, text: str) -> int:
-        s = self.trivia.sub(self._piece, text.removeprefix("﻿"))
+        s = self.trivia.sub(self._piece, text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").replace("\f", ""))
         if "\1" in s:
             return 0
-        s = self.op.sub(lambda m: self.ops[m.group()], _WORD.sub(self._word, s))
+        s = "".join(map(self.__getitem__, self.split(s)))
         s = self.grammar.reduce(s, lambda x: _SPACE.sub("", x))
         if any(c in s for c in "()[]{}"):
             return 0
         out, stack = [], [0]
-        for line in s.replace("\r\n", "\n").replace("\r", "\n").replace("\f", "").split("\n"):
+        for line in s.split("\n"):
             body = line.lstrip(" \t")
             if not body.strip():
                 continue
