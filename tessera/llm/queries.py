@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, credentials, neardup, neighbours, splitting, syntax
+from tessera.llm import canonical, credentials, handwritten, neardup, neighbours, splitting, syntax
 from tessera.sources.tables import table
 
 
@@ -55,6 +55,18 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, d, "chunks").select("id", "embedding"))
 
 
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classified_files(table(spark, d, "files").select("id", "path", "project_root"), table(spark, d, "chunks").select("id", "file_id", "start_line", "content"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).filter("is_foreign").select("file_id")
+
+
+def p5_classified(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d)
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = table(spark, d, "chunks").select("id", "content")
     return neardup.near_duplicates(chunks, "id", "content", words=3, threshold=0.6, least=40)
@@ -76,7 +88,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p7_found, p7_groups, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classified, p7_found, p7_groups, p10_found, p10_canonical)}
 
 ORACLE_SQL = {
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
