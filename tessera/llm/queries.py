@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, credentials, handwritten, neardup, neighbours, splitting, syntax
+from tessera.llm import canonical, credentials, handwritten, mixing, neardup, neighbours, packing, splitting, syntax
+from tessera.llm.tokens import count_tokens
 from tessera.sources.tables import table
 
 
@@ -80,6 +81,37 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d)[0].withColumnRenamed("id", "chunk_id")
 
 
+def _packed(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, int]:
+    capacity, _ = _limit(spark, d, name)
+    docs = table(spark, d, "documents").select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
+    return packing.pack(docs, "doc_id", "n_tokens", capacity), capacity
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, "container")[0].withColumnRenamed("item", "doc_id")
+
+
+def p8_small_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, "small_container")[0].withColumnRenamed("item", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(*_packed(spark, d, "container"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
+    return mixing.mixture(docs, table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.lookalike_pairs(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -88,7 +120,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classified, p7_found, p7_groups, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classified, p7_found, p7_groups, p8_containers, p8_small_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical)}
 
 ORACLE_SQL = {
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
