@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import references
+from tessera.plans import indexing, references, retrieval
 
-QUERIES = {**references.QUERIES}
-ORACLE_SQL = {**references.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **indexing.QUERIES, **references.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **indexing.ORACLE_SQL, **references.ORACLE_SQL}
