@@ -258,28 +258,46 @@ def _near_starts(n: Near, slot: dict) -> list[Column]:
 
 
 class Match:
-    """Columns of an expression: whether a document matches, and each phrase's occurrences in it and in the statistics."""
+    """Columns of an expression: whether a document matches; for each phrase its occurrences in the score and whether it is there.
+
+    A phrase counts in the score only where the subtree that it belongs to matches: in ``a b OR c`` a row with a and c scores c
+    alone, and what NOT excludes never scores."""
 
     def __init__(self, e, slot: dict[tuple[str, bool], Column]):
-        self.phrases: list[tuple[Column, Column, Column]] = []  # (counted, occurrences for the score, found at all)
+        self.phrases: list[tuple[Column, Column]] = []
         self.matches = self._of(e, slot)
 
+    def _gate(self, first: int, ok: Column) -> None:
+        for k in range(first, len(self.phrases)):
+            n, there = self.phrases[k]
+            self.phrases[k] = (F.when(ok, n).otherwise(0), there)
+
     def _of(self, e, slot) -> Column:
+        first = len(self.phrases)
         if isinstance(e, Phrase):
             s = _starts(e, slot)
-            self.phrases.append((F.size(s), F.size(s), F.size(s) > 0))
+            self.phrases.append((F.size(s), F.size(s) > 0))
             return F.size(s) > 0
         if isinstance(e, Near):
             own = _near_starts(e, slot)
             ok = F.lit(True)
             for p, s in zip(e.phrases, own):
-                self.phrases.append((F.size(s), F.size(s), F.size(_starts(p, slot)) > 0))
+                self.phrases.append((F.size(s), F.size(_starts(p, slot)) > 0))
                 ok = ok & (F.size(s) > 0)
+            self._gate(first, ok)
             return ok
         if isinstance(e, Op):
             a = self._of(e.left, slot)
+            middle = len(self.phrases)
             b = self._of(e.right, slot)
-            return a & b if e.kind == "and" else a | b if e.kind == "or" else a & ~b
+            if e.kind == "or":
+                return a | b
+            if e.kind == "and":
+                self._gate(first, a & b)
+                return a & b
+            self._gate(first, a & ~b)
+            self._gate(middle, F.lit(False))
+            return a & ~b
         return F.lit(False)
 
 
@@ -288,7 +306,7 @@ def _ranked(docs: DataFrame, e, slot: dict, stats: DataFrame | None) -> DataFram
     m = Match(e, slot)
     if not m.phrases:
         return docs.select("id", F.lit(0.0).alias("rank")).limit(0)
-    f = docs.select("id", "dl", m.matches.alias("_m"), *[c[1].alias(f"_f{k}") for k, c in enumerate(m.phrases)], *[c[2].cast("int").alias(f"_h{k}") for k, c in enumerate(m.phrases)])
+    f = docs.select("id", "dl", m.matches.alias("_m"), *[c[0].alias(f"_f{k}") for k, c in enumerate(m.phrases)], *[c[1].cast("int").alias(f"_h{k}") for k, c in enumerate(m.phrases)])
     n_rows = [F.sum(f"_h{k}").alias(f"_n{k}") for k in range(len(m.phrases))]
     if stats is None:
         s = f.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *n_rows)

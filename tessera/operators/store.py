@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import CHUNKS, FILES, LINKS, migrate
+from tessera.session import materialize
 
 
 def changed_by_metadata(observed: DataFrame, files: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def upsert_files(files: DataFrame, new: DataFrame) -> DataFrame:
 def number_rows(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """Numbers from 1 in a total order without one task for all: a range partitioning, the partitions' sizes, then a number within each."""
     s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    s = materialize(s, "numbered")  # the partitions of a plan that runs twice need not be the same
     n = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     return s.join(F.broadcast(before), "_p").withColumn(into, F.col("_before") + F.col("_m") - F.col("_first") + 1).drop("_p", "_m", "_n", "_first", "_before")
