@@ -54,3 +54,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` (for a scan: the size of its files)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs more than moving the rows: a small table in one
+    file would be worked on in one task. Inputs of more partitions, as large ones are, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
