@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import materialize, spread
+
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
     # Cyrillic
@@ -46,6 +48,7 @@ _OTHER = regex.compile(r"[^\x00-\x7f]")
 _TO_LATIN = str.maketrans(LOOKALIKES)
 _TO_HYPHEN = str.maketrans(dict.fromkeys(HYPHENS, "-"))
 _ALIKE = frozenset(LOOKALIKES)
+_HYPHEN = frozenset(HYPHENS)
 ASCII = r"^[\x00-\x7F]*$"
 
 
@@ -64,14 +67,19 @@ def look(text: str) -> str:
     t = _LINE.sub("\n", text)
     if not t.isascii():
         t = _IGNORABLE.sub("", unicodedata.normalize("NFKD", t))
-        t = _WORD.sub(_word, t).translate(_TO_HYPHEN)
-        t = unicodedata.normalize("NFKC", t)
+        if not _ALIKE.isdisjoint(t):
+            t = _WORD.sub(_word, t)
+        t = unicodedata.normalize("NFKC", t.translate(_TO_HYPHEN) if not _HYPHEN.isdisjoint(t) else t)
     return _SPACE.sub(" ", t)
 
 
 def canonical(text: str) -> str:
     """The form for comparisons: ``look`` with full case folding."""
-    t = look(text).casefold()
+    return folded(look(text))
+
+
+def folded(looks: str) -> str:
+    t = looks.casefold()
     return t if t.isascii() else _IGNORABLE.sub("", unicodedata.normalize("NFKC", t))
 
 
@@ -85,11 +93,6 @@ def _canonical_udf(s: pd.Series) -> pd.Series:
     return _each(s, canonical)
 
 
-@F.pandas_udf(T.StringType())
-def _look_udf(s: pd.Series) -> pd.Series:
-    return _each(s, look)
-
-
 def _native(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\r\n|[\r\x0b\x0c]", "\n"), "\t", " ")
 
@@ -100,33 +103,36 @@ def canonical_text(c: Column) -> Column:
     return F.when(plain, F.lower(_native(c))).otherwise(_canonical_udf(F.when(~plain, c)))
 
 
-def look_text(c: Column) -> Column:
-    """Column of the form with case kept."""
-    plain = c.rlike(ASCII)
-    return F.when(plain, _native(c)).otherwise(_look_udf(F.when(~plain, c)))
+@F.pandas_udf(T.StructType([T.StructField("form", T.BinaryType()), T.StructField("look", T.BinaryType())]))
+def _keys_udf(s: pd.Series) -> pd.DataFrame:
+    md5 = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
+    def keys(t: str) -> tuple[bytes, bytes]:
+        x = look(t)
+        return md5(folded(x)), md5(x)
 
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    done = {v: keys(v) for v in s.dropna().unique()}
+    none = (None, None)
+    return pd.DataFrame([done.get(v, none) for v in s], columns=["form", "look"])
 
 
 def canonicalise(df: DataFrame, text: str, into: str = "canonical") -> DataFrame:
     """``df`` with the comparison form of column ``text``; rows and other columns stay.
 
     An input column named like ``into`` is replaced. NULL gives NULL, an empty table an empty table."""
-    return df.withColumn(into, canonical_text(F.col(text)))
+    return spread(df).withColumn(into, canonical_text(F.col(text)))
 
 
 def lookalike_classes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row a document: (doc_id, text_key, form_key, look_key), keys being 128-bit digests of the text, its
     comparison form and its form with case. NULL texts have no row; repeated rows count once."""
-    c = F.col(text)
-    key = lambda x: F.unhex(F.md5(x.cast("binary")))
-    return (
-        df.filter(c.isNotNull() & F.col(doc_id).isNotNull())
-        .select(F.col(doc_id).alias("doc_id"), key(c).alias("text_key"), key(canonical_text(c)).alias("form_key"), key(look_text(c)).alias("look_key"))
-        .distinct()
-    )
+    c = F.col("_t")
+    md5 = lambda x: F.unhex(F.md5(x.cast("binary")))
+    d = spread(df.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), "doc_id")
+    plain = c.rlike(ASCII)
+    d = d.select("doc_id", md5(c).alias("text_key"), plain.alias("plain"), F.when(plain, _native(c)).alias("n"), _keys_udf(F.when(~plain, c)).alias("k"))
+    pick = lambda native, other: F.when(F.col("plain"), md5(native)).otherwise(F.col(other))
+    return d.select("doc_id", "text_key", pick(F.lower("n"), "k.form").alias("form_key"), pick(F.col("n"), "k.look").alias("look_key")).distinct()
 
 
 def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +140,7 @@ def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Documents meet on the comparison form; the form with case is the exact check that follows. A form with one text
     only (whatever the number of its copies) is left before any pair is built."""
-    m = lookalike_classes(df, doc_id, text)
+    m = materialize(lookalike_classes(df, doc_id, text), "looks")
     several = m.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo <> hi").select("form_key")
     m = m.join(several, "form_key", "left_semi")
     a, b = m.alias("a"), m.alias("b")

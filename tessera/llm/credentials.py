@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 MARK = "REDACTED"
 MOST_LAYERS = 5
 
@@ -358,7 +360,7 @@ def _redactor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _texts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.filter(F.col(id_col).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("content"))
+    return spread(df.filter(F.col(id_col).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("content")), "id")
 
 
 def find_credentials(df: DataFrame, id_col: str = "id", text: str = "content") -> DataFrame:

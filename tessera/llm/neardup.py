@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import materialize
+from tessera.session import materialize, spread
 
 WORD = "[A-Za-z0-9_]+"
 SIGNATURE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -81,7 +81,7 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, words: int, least: int)
         some = F.sequence(F.lit(1), F.greatest(F.size(ws) - (words - 1), F.lit(1)))
         return F.array_sort(F.array_distinct(F.transform(some, lambda i: F.hash(*[F.get(ws, i + (k - 1)) for k in range(words)]))))
 
-    d = df.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull())
+    d = spread(df.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()), id_col)
     d = d.select(F.col(id_col).cast("long").alias("id"), F.explode(F.transform(F.filter(F.array(w), lambda ws: F.size(ws) >= words), sets)).alias("sh"))
     return d.withColumn("n", F.size("sh")).filter(F.col("n") >= least).select("id", "n", "sh")
 

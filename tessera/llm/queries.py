@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import canonical, credentials, handwritten, mixing, neardup, neighbours, packing, splitting, syntax
 from tessera.llm.tokens import count_tokens
+from tessera.session import spread
 from tessera.sources.tables import table
 
 
@@ -83,7 +84,7 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, int]:
     capacity, _ = _limit(spark, d, name)
-    docs = table(spark, d, "documents").select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
     return packing.pack(docs, "doc_id", "n_tokens", capacity), capacity
 
 
@@ -100,7 +101,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
     return mixing.mixture(docs, table(spark, d, "mix_targets"))
 
 
