@@ -231,8 +231,9 @@ def _inside(v: str, kind: str, depth: int = 1) -> tuple[str, int] | None:
     return None
 
 
-def _spots(s: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of credentials that show by their surroundings or shape."""
+def _spots(s: str, bare: bool = False) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of credentials that show by their surroundings or shape. In a ``bare`` line, outside of literals, a part of a
+    connection string needs a separator before it."""
     if "-----BEGIN" in s:
         for m in _PEM.finditer(s):
             e = _PEM_END.search(s, m.end())
@@ -255,6 +256,8 @@ def _spots(s: str) -> Iterator[tuple[int, int, str]]:
         for m in rx.finditer(s):
             g = 2 if rx is _PART else next(k for k in range(1, rx.groups + 1) if m.group(k) is not None)
             v = m.group(g)
+            if bare and rx is _PART and (m.group()[0] not in ";?&" or "(" in v):
+                continue
             if v[0] not in "<$[{" and (_strong(v) or (kind == "connection string" and v.endswith("==") and len(v) > 20)):
                 yield m.start(g), m.end(g), kind
 
@@ -312,7 +315,7 @@ def scan(text: str) -> list[Finding]:
             for x, y, kind, layers in _literal(s, m):
                 found.setdefault((x, y), (kind, layers))
         if not found:
-            for x, y, kind in _spots(s):
+            for x, y, kind in _spots(s, True):
                 found.setdefault((x, y), (kind, 0))
         if not found:
             for m in _BARE.finditer(s):

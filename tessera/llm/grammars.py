@@ -514,7 +514,7 @@ Block = Stmt+ ;
 Stmt = Small ( ';' Small )* ';'? LF | Compound ;
 Suite = LF BLOCK(Block) | Small ( ';' Small )* ';'? LF ;
 Id = ID | 'match' | 'case' | 'type' | '_' | @py2 'nonlocal' | @py2 'async' | @py2 'await' | 'print' | 'exec' ;
-Small = Assign | 'pass' | 'break' | 'continue' | 'return' Exprs? | 'del' Exprs | 'import' Dotteds | 'from' ( '.' | '...' )* Dotted? 'import' ( '*' | Imports | paren(Imports2) ) | 'global' Ids | @py3 'nonlocal' Ids
+Small = Assign | 'yield' Yield | 'pass' | 'break' | 'continue' | 'return' Exprs? | 'del' Exprs | 'import' Dotteds | 'from' ( '.' | '...' )* Dotted? 'import' ( '*' | Imports | paren(Imports2) ) | 'global' Ids | @py3 'nonlocal' Ids
   | 'assert' Test ( ',' Test )? | 'raise' ( Test ( @py3 'from' Test )? ( @py2 ',' Test ( ',' Test )? )? )? | @py3 'type' Id brack(TPars)? '=' Test | @py2 'print' ( Exprs | '>' '>' Exprs )? | @py2 'exec' Bin ( 'in' Test ( ',' Test )? )? ;
 Assign = Exprs | Targets ( '=' Targets )* '=' Right | Post AUG Right | Post ':' Test ( '=' Right )? ;
 Right = Exprs | 'yield' Yield ;
