@@ -580,7 +580,8 @@ Pair = Test ':' Test | '**' Bin ;
 _PY_OPS = {BIN: ["==", "!=", "<=", ">=", "//", "<<", "%", "&", "^"], AUG: ["+=", "-=", "*=", "/=", "//=", "%=", "&=", "|=", "^=", "<<=", ">>=", "**=", "@="]}
 _PY_PREFIX = r"(?<![A-Za-z0-9_])(?:[rRbBuUfFtT]{1,2}(?=[\"']))?"
 _PY_TRIVIA = _trivia(
-    r"(?P<c>\#[^\n]*|\\\r?\n)|(?P<s>(?:" + _PY_PREFIX + r")?(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|\"(?!\"\")(?:\\.|[^\"\\\n])*\"|'(?!'')(?:\\.|[^'\\\n])*'))|(?P<t>`[^`\n]*`)|(?P<x>[\"'`])"
+    r"(?P<c>\#[^\n]*|\\\r?\n)|(?P<s>(?<![A-Za-z0-9_])(?:[rR]?[fFtT]|[fFtT][rR])(?:\"(?!\"\")(?:\\.|\{\{|\}\}|\{(?:[^{}]|\{[^{}]*\})*\}|[^\"\\\n{}])*\"|'(?!'')(?:\\.|\{\{|\}\}|\{(?:[^{}]|\{[^{}]*\})*\}|[^'\\\n{}])*')"
+    r"|(?:" + _PY_PREFIX + r")?(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|\"(?!\"\")(?:\\.|[^\"\\\n])*\"|'(?!'')(?:\\.|[^'\\\n])*'))|(?P<t>`[^`\n]*`)|(?P<x>[\"'`])"
 )
 _SPACE = re.compile(r"\s+")
 

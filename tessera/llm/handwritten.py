@@ -7,7 +7,8 @@ ratio, entropies of tokens and characters, identifier lengths, comment density,
 number of project roots that hold the same body. A file is reported if it has a notice, if its body is in several project roots
 (which by itself says that it is a copy), or if the forest says so.
 
-The forest is fitted on a bounded sample of files (``SAMPLE`` of each label, chosen by hash); every file is measured and classified.
+Two forests are fitted, each on a bounded sample of one half of the files (``SAMPLE`` of each label, chosen by hash), and score the other half;
+every file is measured and classified.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def measured_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return m.join(shared, "body_key", "left").withColumn("roots", F.coalesce("roots", F.lit(1.0)))
 
 
-def fit_forest(measured: DataFrame, trees: int = 40, depth: int = 7):
+def fit_forest(measured: DataFrame, trees: int = 40, depth: int = 6):
     """The forest, fitted on at most ``SAMPLE`` files with a tool's notice and without any, the labels weighing the same;
     foreign code looks like hand-written code and teaches nothing. None if all files or none have such a notice."""
     h = F.xxhash64("file_id", F.lit(SEED))
@@ -143,15 +144,23 @@ def fit_forest(measured: DataFrame, trees: int = 40, depth: int = 7):
     weight = F.when(F.col("notice") == 1, F.lit(sum(kept.values()) / (2 * kept[1]))).otherwise(F.lit(sum(kept.values()) / (2 * kept[0])))
     rows = picked.select("notice", weight.alias("w"), *FEATURES)
     rows = materialize(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select(F.col("notice").cast("double").alias("y"), "w", "x").coalesce(8), "sample")
-    return RandomForestClassifier(labelCol="y", featuresCol="x", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=SEED).fit(rows)
+    return RandomForestClassifier(labelCol="y", featuresCol="x", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=4, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=SEED).fit(rows)
 
 
-def classified_files(files: DataFrame, chunks: DataFrame, threshold: float = 0.6) -> DataFrame:
+def classified_files(files: DataFrame, chunks: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(file_id, project_root, notice, roots, probability, is_foreign): every file that has chunks; ``is_foreign`` is true with a
     notice, in several roots, or with a probability of at least ``threshold``. Empty tables give an empty result."""
     m = measured_files(files, chunks)
-    forest = fit_forest(m)
-    if forest is None:
-        return m.select("file_id", "project_root", "notice", "roots", (F.col("notice") > 0).cast("double").alias("probability"), ((F.col("notice") > 0) | (F.col("roots") > 1)).alias("is_foreign"))
-    p = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(m).withColumnRenamed("features", "x")).withColumn("probability", vector_to_array("probability")[1])
-    return p.select("file_id", "project_root", "notice", "roots", "probability", ((F.col("notice") > 0) | (F.col("roots") > 1) | (F.col("probability") >= threshold)).alias("is_foreign"))
+    m = materialize(m, "features")
+    fold = F.pmod(F.xxhash64("file_id", F.lit(SEED + 1)), F.lit(2))
+    out = None
+    for k in (0, 1):
+        # a file is scored by the forest that did not see it, else files without a notice would be learnt as hand-written by heart
+        forest, own = fit_forest(m.filter(fold != k)), m.filter(fold == k)
+        if forest is None:
+            p = own.withColumn("probability", (F.col("notice") > 0).cast("double"))
+        else:
+            p = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(own).withColumnRenamed("features", "x")).withColumn("probability", vector_to_array("probability")[1])
+        p = p.select("file_id", "project_root", "notice", "roots", "probability")
+        out = p if out is None else out.unionByName(p)
+    return out.withColumn("is_foreign", (F.col("notice") > 0) | (F.col("roots") > 1) | (F.col("probability") >= threshold))
