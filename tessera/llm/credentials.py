@@ -64,6 +64,8 @@ _KNOWN = re.compile(
 _ISSUED = re.compile(r"(?<![\w.\-/])[a-z]{2,6}(?:[._\-][a-z]{2,6}){1,2}[._\-]([A-Za-z0-9]{24,})(?![\w/])")
 _LOGIN = re.compile(r"(?i)(?:^|[\s.(=>:])\w*(?:log_?in|sign_?in|log_?on|connect|authenticate|open_?session|set_?credentials|basic_?auth|auth)\w*\s*\([^()\"'`]*[\"'`][^\"'`]*[\"'`]\s*,\s*$")
 _SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|pass|passphrase|secret|token|api key|key|credentials?)\b[\w \t]{0,40}?(?:\bis\b|->|=>|→)\s*[\"'`]?([^\s\"'`]+)")
+_COMMENT = re.compile(r"^\s*(?://|#|\*|--|<!--|/\*|;|>|[-*] )")
+_SPOKEN = re.compile(r"(?i)\b(?:password|passwd|pwd|pass|passphrase|secret|token|api key|access key|key|credentials?)\b")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BARE = re.compile(r"(?:^|[\s\"'`(\[{,;>*#/|-])([A-Za-z_][\w.\-]*)[\"'`*]*\s*(?::=|=|:)\s*([^\s\"'`]+)")
@@ -87,14 +89,14 @@ def _entropy(s: str) -> float:
 def _name_kind(name: str) -> str:
     """'' if the name doesn't speak of a credential, 'secret' for one, 'key' for a key."""
     w = [x.lower() for x in _WORDS.findall(name)]
-    if not w or not ABOUT_WORDS.isdisjoint(w):
-        return ""
-    if not SECRET_WORDS.isdisjoint(w):
-        return "secret"
-    for a, b in zip(w, w[1:]):
-        if b in ("key", "keys") and a in KEY_WORDS:
-            return "key"
-    return ""
+    kind, at = "", 0
+    for k, x in enumerate(w):
+        if x in SECRET_WORDS:
+            kind, at = "secret", k
+        elif x in ("key", "keys") and k and w[k - 1] in KEY_WORDS:
+            kind, at = kind or "key", k
+    # what a name is about stands after the secret's word: token_count, but label_token
+    return kind if ABOUT_WORDS.isdisjoint(w[at + 1 :]) else ""
 
 
 def _strong(v: str) -> bool:
@@ -331,6 +333,13 @@ def scan(text: str) -> list[Finding]:
                 v = m.group(1).rstrip(",;.)")
                 if _strong(v) and re.search(r"\d|[^\w.]", v) and "(" not in v:
                     found[m.start(1), m.start(1) + len(v)] = ("note", 0)
+        if not found and _COMMENT.match(s) and (m := _SPOKEN.search(s)):
+            for t2 in re.finditer(r"[^\s\"'`<>]{10,}", s[m.end() : m.end() + 240]):
+                v = t2.group().rstrip(",;.)")
+                mixed = bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and "(" not in v
+                if mixed and _strong(v) and _entropy(v) > 2.8 and (re.search(r"[^\w./\-]", v) or re.fullmatch(r"[0-9a-f]{32,}", v) or (len(v) >= 16 and re.search(r"[A-Z].*[a-z]|[a-z].*[A-Z]", v) and not re.fullmatch(r"(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+|_[a-z]+)*\d{0,4}", v))):
+                    found[m.end() + t2.start(), m.end() + t2.start() + len(v)] = ("note", 0)
+                    break
         for (x, y), (kind, layers) in sorted(found.items()):
             out.append(Finding(a + x, a + y, line_no, kind, layers))
     return out
