@@ -20,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, spread
 
 #: Bound of the sample that partitions and classifier are fitted on.
 SAMPLE = 16384
 #: Vectors a part has on average, vectors of the index and queries that one task holds at most.
 PART, BLOCK, QUERIES = 4096, 16384, 65536
 MOST_PARTS = 1024
+SALTS = 32
 
 
 @dataclass
@@ -234,12 +235,14 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
     neighbours that calibration asks for. Vectors that are NULL, empty, of another dimension, all zero or not finite have
     no rows; a row delivered twice counts once; an empty table gives an empty result."""
     spark = df.sparkSession
-    units = usable_vectors(df, id_col, vec, dim).mapInPandas(_unit, "id long, u binary")
-    # a class of equal directions: its smallest member searches, the k + 1 smallest are enough to answer for all
-    by_u = Window.partitionBy("u").orderBy("id")
-    ranked = units.dropDuplicates(["id", "u"]).withColumn("rep", F.min("id").over(by_u)).withColumn("nth", F.row_number().over(by_u))
-    ranked = materialize(ranked, "vectors")
-    reps = ranked.filter("nth = 1").select("id", "u")
+    units = materialize(spread(usable_vectors(df, id_col, vec, dim), "id").mapInPandas(_unit, "id long, u binary"), "vectors")
+    # a class of equal directions: its smallest member searches, its k + 1 smallest are enough to answer for all; found in
+    # SALTS parts first, so that no task sorts a class that holds a third of the rows
+    w = Window.partitionBy("u", "salt").orderBy("id")
+    some = units.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("nth", F.dense_rank().over(w)).filter(F.col("nth") <= k + 1).select("id", "u").distinct()
+    w = Window.partitionBy("u").orderBy("id")
+    few = materialize(some.withColumn("rep", F.min("id").over(w)).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k + 1), "classes")
+    reps = few.filter("nth = 1").select("id", "u")
     n = reps.count()
     parts = min(MOST_PARTS, max(1, round(n / PART)))
     share = min(1.0, SAMPLE / max(n, 1))
@@ -250,8 +253,8 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
     shared = spark.sparkContext.broadcast(router)
     routed = materialize(reps.mapInPandas(_router_job(shared, probes, dim), "id long, u binary, parts array<int>"), "routed")
     # index entries and queries per part: at most MOST_PARTS rows
-    spread = routed.select(F.posexplode("parts").alias("nth", "part")).groupBy("part").agg(F.count_if(F.col("nth") == 0).alias("n"), F.count(F.lit(1)).alias("asks")).collect()
-    blocks = spark.createDataFrame([(int(r["part"]), max(1, math.ceil(r["n"] / BLOCK)), max(1, math.ceil(r["asks"] / QUERIES))) for r in spread if r["n"]] or [(0, 1, 1)], "part int, nb int, nq int")
+    counted = routed.select(F.posexplode("parts").alias("nth", "part")).groupBy("part").agg(F.count_if(F.col("nth") == 0).alias("n"), F.count(F.lit(1)).alias("asks")).collect()
+    blocks = spark.createDataFrame([(int(r["part"]), max(1, math.ceil(r["n"] / BLOCK)), max(1, math.ceil(r["asks"] / QUERIES))) for r in counted if r["n"]] or [(0, 1, 1)], "part int, nb int, nq int")
     # a part is cut into nb blocks of entries and nq blocks of queries, which meet pairwise; a vector in its own part is both
     h = F.xxhash64("id")
     sent = (
@@ -264,10 +267,12 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
     hits = sent.groupBy("part", "bq").applyInPandas(_search_job(dim, k, least), "id long, other long, cosine float")
     near = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k).select("id", "other", "cosine")
     # back from classes to records
-    few = ranked.filter(F.col("nth") <= k + 1).select("rep", F.col("id").alias("other"))
-    copies = few.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("rep")
-    same = ranked.join(copies, "rep", "left_semi").select("id", "rep").join(few, "rep").filter("id <> other").select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
-    across = near.select(F.col("id").alias("rep"), F.col("other").alias("rep2"), "cosine").join(few.filter(F.col("other").isNotNull()).select(F.col("rep").alias("rep2"), "other"), "rep2").join(ranked.filter(F.col("nth") <= k).select("rep", "id"), "rep").select("id", "other", "cosine")
+    large = few.filter(F.col("nth") == k + 1).select("u", "rep")
+    members = few.join(few.filter("nth = 2").select("rep"), "rep", "left_semi").select("id", "rep").unionByName(units.join(large, "u").select("id", "rep")).distinct()
+    few = few.select("rep", F.col("id").alias("other"), "nth")
+    same = members.join(few.drop("nth"), "rep").filter("id <> other").select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
+    few = few.filter(F.col("nth") <= k)
+    across = near.select(F.col("id").alias("rep"), F.col("other").alias("rep2"), "cosine").join(few.select(F.col("rep").alias("rep2"), "other"), "rep2").join(few.select("rep", F.col("other").alias("id")), "rep").select("id", "other", "cosine")
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return same.unionByName(across).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "other", "cosine", "rank")
 
