@@ -60,7 +60,8 @@ def approximate(df: DataFrame, query: list[float], k: int, id_col: str = "id", v
     """(id, distance): ``nearest`` by random projections, which may miss some; finite vectors of the query's dimension only."""
     from pyspark.ml.linalg import Vectors
 
-    good = df.filter((F.size(vec) == len(query)) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))).select(F.col(id_col).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), len(query))  # the conversion can be run before the filter
+    good = df.filter((F.size(vec) == len(query)) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))).select(F.col(id_col).alias("id"), array_to_vector(F.coalesce(F.col(vec).cast("array<double>"), zero)).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=buckets, numHashTables=tables, seed=seed).fit(good)
     near = model.approxNearestNeighbors(good, Vectors.dense(query), k, distCol="d")
     return near.select("id", F.pow("d", F.lit(2)).alias("distance"))
@@ -78,3 +79,27 @@ def from_bytes(blob: Column) -> Column:
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, T.ArrayType(T.FloatType()))(blob)
+
+
+# --- a vector index as a table (id, embedding) ---
+
+
+def add_vectors(index: DataFrame, new: DataFrame, dim: int, most: int = RAM_VECTORS) -> DataFrame:
+    """``index`` with the vectors of ``new`` of the right dimension; a known id gets its new vector. Beyond ``most`` vectors, those of the
+    largest ids among the new ones find no place."""
+    fit = of_dimension(new, "embedding", dim).select("id", "embedding").dropDuplicates(["id"])
+    kept = index.select("id", "embedding").join(fit.select("id"), "id", "left_anti").withColumn("_new", F.lit(0))
+    return kept.unionByName(fit.withColumn("_new", F.lit(1))).orderBy("_new", "id").limit(most).drop("_new")
+
+
+def remove_vectors(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """``index`` without the ids of ``ids`` (id)."""
+    return index.join(ids.select("id"), "id", "left_anti")
+
+
+def save_vectors(index: DataFrame, path: str) -> None:
+    index.select("id", "embedding").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark, path: str) -> DataFrame:
+    return spark.read.schema("id long, embedding array<float>").parquet(path)

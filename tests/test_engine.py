@@ -121,3 +121,14 @@ def test_wordpiece():
     assert encode("Playing, it's!", v) == [101, v["play"], v["##ing"], v["it"], v["##s"], 102]
     assert encode("zebra", v) == [101, 100, 102] and encode("x" * 101, v) == [101, v["[UNK]"], 102] and encode(None, v) == [101, 102]
     assert len(encode("play " * 600, v)) == 512
+
+
+def test_page(engine):
+    from urllib.request import urlopen
+
+    from tessera.web import serve, stats
+
+    server = serve(engine, 0)
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    assert stats(url)["total_files"] >= 2 and b"/api/stats" in urlopen(url + "/").read()
+    server.shutdown()

@@ -62,3 +62,31 @@ def test_stream_windows(spark, data, tmp_path):
     q = I.event_counts(I.event_stream(spark, str(tmp_path / "in")), late="4000 days").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.sql("select * from windows").collect()} == {tuple(r) for r in I.event_counts(e).collect()}
+
+
+def test_file_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in ("a.py", "b.py"):
+        (tmp_path / "in" / n).write_text("x = 1\n")
+    seen = []
+    I.run_stream(I.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda b, n: seen.extend(r["path"].rsplit("/", 1)[1] for r in b.collect()))
+    (tmp_path / "in" / "c.py").write_text("x = 2\n")
+    I.run_stream(I.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda b, n: seen.extend(r["path"].rsplit("/", 1)[1] for r in b.collect()))
+    assert sorted(seen) == ["a.py", "b.py", "c.py"]
+
+
+def test_roots_and_ignores(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as X
+    from tessera.sources.scan import assign_root, snapshot_events
+
+    r = spark.createDataFrame([(1, "/a/b"), (2, "/a"), (3, "/c")], "ordinal int, root string")
+    p = spark.createDataFrame([("/a/bc/x",), ("/a/x",), ("/d",)], "path string")
+    assert {x["path"]: x["project_root"] for x in assign_root(p, r).collect()} == {"/a/bc/x": "/a/b", "/a/x": "/a", "/d": None}
+    names = spark.createDataFrame([("/r/build/x.py",), ("/r/src/x.o",), ("/r/src/x.py",), ("/r/builder/x",), ("/r/.git/c",)], "p string")
+    assert {x[0] for x in names.filter(~X.ignored(F.col("p"), F.lit("/r"), X.IGNORED)).collect()} == {"/r/src/x.py", "/r/builder/x"}
+    assert X.parse_ignore_file("# a\n\n  *.tmp \nbuild\n") == ["*.tmp", "build"]
+    s = "path string, size long, last_modified long"
+    a, b = spark.createDataFrame([("/a", 1, 1), ("/b", 1, 1), ("/c", 1, 1)], s), spark.createDataFrame([("/a", 1, 1), ("/b", 2, 1), ("/d", 1, 1)], s)
+    assert {tuple(x) for x in snapshot_events(a, b).collect()} == {("/b", "Modified"), ("/c", "Deleted"), ("/d", "Created")}
