@@ -327,9 +327,10 @@ def _positions(tokens: Column, term: str, prefix: bool) -> Column:
     return F.filter(F.transform(tokens, hit), lambda i: i.isNotNull())
 
 
-def search_texts(docs: DataFrame, query: str, id_col: str = "id", text: str = "content") -> DataFrame:
+def search_texts(docs: DataFrame, query: str, id_col: str = "id", text: str = "content", once: bool = True) -> DataFrame:
     """(id, rank) of the rows that match, best (lowest) rank first when ordered by (rank, id). A query with a syntax error, or
-    an empty one, matches nothing. NULL texts count as empty documents; ids are expected once."""
+    an empty one, matches nothing. NULL texts count as empty documents. Ids are expected once; with ``once`` off, repeated ids are
+    reduced to one row after the texts have been read, so that only positions are moved, not texts."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))
     try:
         e = parse_query(query)
@@ -342,6 +343,7 @@ def search_texts(docs: DataFrame, query: str, id_col: str = "id", text: str = "c
     for k, (term, prefix) in enumerate(want):
         cols.append(_positions(F.col("_t"), term, prefix).alias(f"_s{k}"))
     d = t.select("id", F.size("_t").alias("dl"), F.explode(F.array(F.struct(F.lit(0).alias("_"), *cols))).alias("_p")).select("id", "dl", "_p.*")
+    d = d if once else d.dropDuplicates(["id"])
     return _ranked(d, e, {key: F.col(f"_s{k}") for k, key in enumerate(want)}, None)
 
 

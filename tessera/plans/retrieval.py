@@ -22,6 +22,11 @@ def chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return table(spark, d, "chunks").select(*_FIELDS, *more).dropDuplicates(["id"])
 
 
+def deliveries(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Chunks as delivered, some twice: searches reduce them after reading, when rows are small."""
+    return table(spark, d, "chunks").select(*_FIELDS, *more)
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").dropDuplicates(["id"])
 
@@ -89,7 +94,7 @@ _V = f"v AS (SELECT id, any_value(embedding) AS e FROM chunks WHERE {_GOOD} GROU
 
 def _search(query: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return T.search_texts(chunks(spark, d).select("id", "content"), query).select("id", F.round("rank", 6).alias("rank"))
+        return T.search_texts(deliveries(spark, d).select("id", "content"), query, once=False).select("id", F.round("rank", 6).alias("rank"))
 
     return run
 
@@ -105,7 +110,7 @@ def fts_postings(spark, d):
 
 
 def bm25_topk(spark, d):
-    return keyword_search(chunks(spark, d), _QUERY, 10).select("id", F.round("rank", 6).alias("rank"))
+    return keyword_search(deliveries(spark, d), _QUERY, 10, once=False).select("id", F.round("rank", 6).alias("rank"))
 
 
 def bm25_index(spark, d):
@@ -114,7 +119,7 @@ def bm25_index(spark, d):
 
 
 def bm25_filtered(spark, d):
-    return keyword_search(chunks(spark, d), _QUERY, 10, Filters("function", "python")).select("id", F.round("rank", 6).alias("rank"))
+    return keyword_search(deliveries(spark, d), _QUERY, 10, Filters("function", "python"), once=False).select("id", F.round("rank", 6).alias("rank"))
 
 
 def filter_counts(spark, d):
@@ -184,7 +189,7 @@ def dummy_embed(spark, d):
 
 def _legs(spark, d, k):
     near = V.nearest(_usable(spark, d), _probe(spark, d), k)
-    words = keyword_search(chunks(spark, d), _QUERY, k)
+    words = keyword_search(deliveries(spark, d), _QUERY, k, once=False)
     return rank_positions(near, "distance", "id"), rank_positions(words, "rank", "id")
 
 
@@ -193,7 +198,7 @@ def rrf(spark, d):
 
 
 def _hybrid(spark, d, query=_QUERY, vector=None, filters=Filters(), prefilter=False, limit=10):
-    h = hybrid_search(chunks(spark, d, "embedding"), query, _probe(spark, d) if vector is None else vector, limit, filters, prefilter, vectors=_usable(spark, d).join(chunks(spark, d), "id") if prefilter else _usable(spark, d))
+    h = hybrid_search(deliveries(spark, d, "embedding"), query, _probe(spark, d) if vector is None else vector, limit, filters, prefilter, vectors=_usable(spark, d).join(filters.apply(deliveries(spark, d)).select("id", "symbol_type", "language", "project_root").dropDuplicates(["id"]), "id") if prefilter else _usable(spark, d), once=False)
     return h.select("id", "start_line", "end_line", "symbol_name", "symbol_type", F.round("score", 6).alias("score"), "type")
 
 

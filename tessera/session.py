@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def get_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,6 +49,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +62,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that costs more than moving the rows: a small table in one
     file would be worked on in one task. Inputs of more partitions, as large ones are, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Aggregate" in df._jdf.queryExecution().sparkPlan().toString():
+        return df  # asking a plan with a shuffle for its partitions would run it
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` wrote; results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        p = path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df``, a ranked list cut to a limit that the caller states, computed once and kept by the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
