@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import TERM, fold_text, terms
 from tessera.schema import BM25_B, BM25_K1, IDF_FLOOR
+from tessera.session import spread
 
 
 class QuerySyntaxError(ValueError):
@@ -338,7 +339,7 @@ def search_texts(docs: DataFrame, query: str, id_col: str = "id", text: str = "c
         return base.select("id", F.lit(0.0).alias("rank")).limit(0)
     want = slots_of(e)
     # a generator keeps the tokens from being computed again for each use
-    t = base.select("id", F.explode(F.array(F.coalesce(terms(F.col("_text")), F.array().cast("array<string>")))).alias("_t"))
+    t = spread(base).select("id", F.explode(F.array(F.coalesce(terms(F.col("_text")), F.array().cast("array<string>")))).alias("_t"))
     cols = []
     for k, (term, prefix) in enumerate(want):
         cols.append(_positions(F.col("_t"), term, prefix).alias(f"_s{k}"))
@@ -349,7 +350,7 @@ def search_texts(docs: DataFrame, query: str, id_col: str = "id", text: str = "c
 
 def build_postings(docs: DataFrame, id_col: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame]:
     """(postings, lengths): (term, id, dl, positions) and (id, dl). Written sorted by term, a query reads few row groups."""
-    t = docs.select(F.col(id_col).alias("id"), F.explode(F.array(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")))).alias("t"))
+    t = spread(docs.select(id_col, text)).select(F.col(id_col).alias("id"), F.explode(F.array(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")))).alias("t"))
     p = t.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")).groupBy("term", "id", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     return p.select("term", "id", "dl", "positions"), t.select("id", F.size("t").alias("dl"))
 
