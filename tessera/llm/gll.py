@@ -19,8 +19,8 @@ _OPEN = {"paren": "(", "brack": "[", "brace": "{"}
 OPT, STAR = 1, 2
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 _LAST = "\0"
-#: Entries of the caches of a worker; a full cache is emptied.
-CACHE = 200_000
+#: Entries of a cache, and characters of a text that is kept in it; a full cache is emptied. Longer texts hardly come again.
+CACHE, KEPT = 50_000, 600
 
 
 class Grammar:
@@ -41,7 +41,6 @@ class Grammar:
         self.group: dict[str, tuple[str, dict[int, int]]] = {}
         self._memo: dict = {}
         self._lens: dict = {}
-        self._list_memo: dict = {}
 
     # --- text to rules ---
 
@@ -280,10 +279,12 @@ class Grammar:
         kept, self.kept = self.kept, self.kept - {n}
         (ends,), far = self._run([n], s, i)
         self.kept = kept
+        size = far - i
+        if size > KEPT:
+            return list(ends.items()), far
         if len(self._memo) >= CACHE:
             self._memo.clear()
             self._lens.clear()
-        size = far - i
         self._memo[n, s[i:far]] = [(e - i, m) for e, m in ends.items()]
         lens = self._lens.setdefault((n, s[i : i + 2]), [])
         if size not in lens:
@@ -302,9 +303,10 @@ class Grammar:
             if c is None:
                 c = self._of[b, sig] = chr(0xF0000 + len(self._of))
                 self.group[c] = (b, dict(zip(goals, sig)))
-            if len(self._sig) >= CACHE:
-                self._sig.clear()
-            self._sig[whole] = c
+            if len(whole) <= KEPT:
+                if len(self._sig) >= CACHE:
+                    self._sig.clear()
+                self._sig[whole] = c
         return c
 
     def reduce(self, s: str, clean=None) -> str:
