@@ -19,8 +19,10 @@ _OPEN = {"paren": "(", "brack": "[", "brace": "{"}
 OPT, STAR = 1, 2
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 _LAST = "\0"
-#: Entries of a cache, and characters of a text that is kept in it; a full cache is emptied. Longer texts hardly come again.
-CACHE, KEPT = 50_000, 600
+#: Entries of the caches for short and for long texts, and their most characters; a full cache is emptied. Short texts come again
+#: and again and are not lost when long ones, of which most come once, have filled theirs; longer ones are not kept.
+CACHE, SHORT = 200_000, 80
+CACHE_LONG, KEPT = 20_000, 600
 
 
 class Grammar:
@@ -37,6 +39,7 @@ class Grammar:
         self.start = self.ids[start]
         self.kept = {self.ids[k] for k in kept}
         self._sig: dict[str, str] = {}
+        self._sig_long: dict[str, str] = {}
         self._of: dict[tuple, str] = {}
         self.group: dict[str, tuple[str, dict[int, int]]] = {}
         self._memo: dict = {}
@@ -293,7 +296,8 @@ class Grammar:
 
     def _reduced(self, m: re.Match) -> str:
         whole = m.group()
-        c = self._sig.get(whole)
+        cache, most = (self._sig, CACHE) if len(whole) <= SHORT else (self._sig_long, CACHE_LONG)
+        c = cache.get(whole)
         if c is None:
             b, body = whole[0], whole[1:-1] + _LAST
             goals = self.contents[b]
@@ -304,9 +308,9 @@ class Grammar:
                 c = self._of[b, sig] = chr(0xF0000 + len(self._of))
                 self.group[c] = (b, dict(zip(goals, sig)))
             if len(whole) <= KEPT:
-                if len(self._sig) >= CACHE:
-                    self._sig.clear()
-                self._sig[whole] = c
+                if len(cache) >= most:
+                    cache.clear()
+                cache[whole] = c
         return c
 
     def reduce(self, s: str, clean=None) -> str:

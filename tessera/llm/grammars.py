@@ -16,7 +16,7 @@ ID, NUM, STR, BIN, AUG, LF = "a", "0", '"', "B", "A", "N"
 _CLASSES = {"ID": ID, "NUM": NUM, "STR": STR, "BIN": BIN, "AUG": AUG, "LF": LF}
 _NUMBER, _WORD = r"\.?\d(?:[eEpP][+-]\d|[\w.'])*", r"[A-Za-z_$\x80-\U0010ffff][\w$]*"
 #: Different tokens that a lexer remembers; beyond, it starts afresh.
-_KNOWN = 100_000
+_KNOWN = 300_000
 
 
 def _trivia(pattern: str, flags: int = 0) -> re.Pattern:
