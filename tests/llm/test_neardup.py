@@ -44,6 +44,17 @@ def test_hot_group_and_edges(spark):
     assert near_duplicates(spark.createDataFrame([], "id long, content string"), "id", "content")[0].count() == 0
 
 
+def test_hot_bucket_of_dissimilar_members(spark):
+    # six short records (similarity 0.65 to each other) have a header of 82 words, and so do 3,000 longer ones (0.42 to the short ones, 0.31 to each other)
+    head = " ".join(f"h{k}" for k in range(82))
+    rows = [(k, head + " " + " ".join(f"b{k}x{j}" for j in range(86))) for k in range(3000)] + [(5000 + k, head + " " + " ".join(f"s{k}x{j}" for j in range(21))) for k in range(6)]
+    s = {i: sets(t, 3) for i, t in rows if i >= 5000}
+    want = {(a, b) for a in s for b in s if a < b}
+    assert all(0.6 <= len(s[a] & s[b]) / len(s[a] | s[b]) < 0.7 for a, b in want)
+    groups, links = near_duplicates(spark.createDataFrame(rows, "id long, content string"), "id", "content", words=3, threshold=0.6, least=40)
+    assert {tuple(r) for r in pairs_of(groups, links).collect()} == want
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 100 - 60), (55, 50), (50, 52)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
