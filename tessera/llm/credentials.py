@@ -5,7 +5,8 @@ assignments of configuration and prose, URLs with user information, authorisatio
 options, tokens of known shape and private keys. Values that can be an encoding are decoded (base64, hexadecimal, percent
 and escape sequences), layer by layer, and what comes out is scanned again; binary results are parsed by the grammar of
 key containers (DER keys, PKCS #12, OpenSSH, Java key stores). If a decoded layer holds a credential, the enclosing
-encoded literal is the finding. Redaction replaces the value and leaves quotes, separators and line ends alone.
+encoded literal is the finding. Literals that are put together (by ``+``, side by side, over lines, in multi-line strings) are
+judged as one value. Redaction replaces the value and leaves quotes, separators and line ends alone.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ class Finding(NamedTuple):
     line_no: int
     kind: str
     layers: int
+    #: The places of a value that stands in several literals or lines, else empty.
+    parts: tuple[tuple[int, int], ...] = ()
 
 
 # Words of names that hold credentials, and words that say that a name holds something about one.
@@ -48,9 +51,16 @@ ABOUT_WORDS = {
 
 _TRIGGER = re.compile(
     r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|psk|-----BEGIN|://[^\s/\"'`]{0,80}@|\b-u\b|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_|eyJ|AIza|glpat|SG\.|[A-Za-z0-9+/_\-]{24}|log_?in|sign_?in|connect|session|(?:\\x[0-9a-f]{2}){4}|(?:\\u[0-9a-f]{4}){4}|(?:%[0-9a-f]{2}){3}"
+    r"|[\"'`][ \t)]*(?:\+|\\?\r?\n[ \t]*[bru]{0,2}[\"'`])|\\\r?\n"
 )
-_LITERAL = re.compile(r"""("""  # noqa: ISC001
-    r'''"""|\'\'\'|["'`])((?:\\.|(?!\1)[^\n\\])*)(\1|$)''')
+_LITERAL = re.compile(r"""(?m)("""  # noqa: ISC001
+    r'''"""|\'\'\'|["'`])((?:\\(?:\r?\n|.)|(?!\1)[^\n\\])*)(\1|$)''')
+# what stands between two literals of one value, and the line ends that such a value or an escaped line end goes on over
+_GAP = re.compile(r"""(?:(?:[\s)]|\\\r?\n|(?://|\#)[^\n]*\n)*\+(?:[\s(]|\\\r?\n|(?://|\#)[^\n]*\n)*|(?:\s|\\\r?\n|(?://|\#)[^\n]*\n)*)[bBrRuUfFL]{0,2}""")
+_SOFT = re.compile(r"""["'`][ \t)]*(?:\+|\\)?[ \t]*(?:(?://|\#)[^\n]*)?\r?(\n)[ \t]*(?:\+[ \t(]*)?[bBrRuUfFL]{0,2}(?=["'`])|[=(][ \t]*\r?(\n)[ \t]*[bBrRuUfFL]{0,2}(?=["'`])|\\\r?(\n)""")
+_ESCAPED_END = re.compile(r"\\\r?\n")
+_BLOCK = re.compile(r"""(?<=[=:(])[ \t]*[bBrRuUfF]{0,2}("""  # noqa: ISC001
+    r'''"""|\'\'\'|`)(?=[^\n"'`]*\n)''')
 _NAME = re.compile(r"""([A-Za-z_$][\w$.\-]*)["'\]]{0,2}\s*(?::\s*[&'\w<>\[\] .]+?\s*)?(?::=|=>|==|=|:|,|\()\s*(?:\(|\{|new\s+\w+\(|[bBrRuUfF]{1,2}(?=["'])|&|String::from\(|\[\]byte\(|std::string\(|std::string\{)*\s*$""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@\"'`<>]*):([^\s@\"'`/]*(?:/[^\s@\"'`/]+)?)@[\w\[]")
@@ -233,27 +243,27 @@ def _inside(v: str, kind: str, depth: int = 1) -> tuple[str, int] | None:
     return None
 
 
-def _spots(s: str, bare: bool = False) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of credentials that show by their surroundings or shape. In a ``bare`` line, outside of literals, a part of a
+def _spots(s: str, bare: bool = False) -> Iterator[tuple[int, int, str, int]]:
+    """(start, end, kind, begin of the URL, header or token) of credentials that show by their surroundings or shape. In a ``bare`` line, outside of literals, a part of a
     connection string needs a separator before it."""
     if "-----BEGIN" in s:
         for m in _PEM.finditer(s):
             e = _PEM_END.search(s, m.end())
             body = s[m.end() : e.start() if e else len(s)]
             if len(re.sub(r"\\n|[\s\"'+`,;]", "", body)) >= 16 or not e:
-                yield m.start(), e.end() if e else len(s), "private key"
+                yield m.start(), e.end() if e else len(s), "private key", m.start()
     if "://" in s and "@" in s:
         for m in _URL.finditer(s):
             p = m.group(2)
             if p and not _PLACE.match(p) and not _PLACE.match(urllib.parse.unquote(p)):
-                yield m.start(2), m.end(2), "url"
+                yield m.start(2), m.end(2), "url", m.start()
     for m in _KNOWN.finditer(s):
         if not _PLACE.match(m.group()):
-            yield m.start(), m.end(), "token"
+            yield m.start(), m.end(), "token", m.start()
     for m in _ISSUED.finditer(s):
         r = m.group(1)
         if any(c.isdigit() for c in r) and any(c.isupper() for c in r) and any(c.islower() for c in r) and _entropy(r) > 3.4:
-            yield m.start(), m.end(), "token"
+            yield m.start(), m.end(), "token", m.start()
     for rx, kind in ((_HEADER, "header"), (_PART, "connection string"), (_OPTION, "command")):
         for m in rx.finditer(s):
             g = 2 if rx is _PART else next(k for k in range(1, rx.groups + 1) if m.group(k) is not None)
@@ -261,30 +271,91 @@ def _spots(s: str, bare: bool = False) -> Iterator[tuple[int, int, str]]:
             if bare and rx is _PART and (m.group()[0] not in ";?&" or "(" in v):
                 continue
             if v[0] not in "<$[{" and (_strong(v) or (kind == "connection string" and v.endswith("==") and len(v) > 20)):
-                yield m.start(g), m.end(g), kind
+                yield m.start(g), m.end(g), kind, m.start()
 
 
-def _literal(s: str, m: re.Match, depth: int = 1) -> Iterator[tuple[int, int, str, int]]:
-    """Findings of one string literal of the line ``s``: by its own content, then by the name before it."""
-    v = m.group(2)
+def _judged(head: str, v: str, depth: int = 1) -> Iterator[tuple[int, int, str, int, int]]:
+    """(start, end, kind, layers, begin) of the findings of the value ``v`` after ``head``: by its own content, then by the name before it."""
     found = False
-    for a, b, kind in _spots(v):
+    for a, b, kind, begin in _spots(v):
         found = True
-        yield m.start(2) + a, m.start(2) + b, kind, 0
+        yield a, b, kind, 0, begin
     if found or len(v) < 6:
         return
-    head = s[max(0, m.start() - 160) : m.start()]
     n = _NAME.search(head)
     kind = _name_kind(n.group(1)) if n and not (head.rstrip().endswith(("(", ",")) and not re.search(r"[:=]\s*(?:\w+\s*)?\($", head.rstrip())) else ""
     if depth <= MOST_LAYERS:
         r = _inside(v, kind, depth)
         if r:
-            yield m.start(2), m.end(2), r[0], r[1]
+            yield 0, len(v), r[0], r[1], 0
             return
     if kind and _strong(v) and (kind == "secret" or len(v) >= 8):
-        yield m.start(2), m.end(2), kind, 0
+        yield 0, len(v), kind, 0, 0
     elif _strong(v) and re.search(r"\d|[^\w.\-/]", v) and _LOGIN.search(head):
-        yield m.start(2), m.end(2), "login", 0
+        yield 0, len(v), "login", 0, 0
+
+
+def _head(s: str, at: int) -> str:
+    """What stands before the literal at ``at`` in its line, or, if nothing does, in the line before."""
+    a = s.rfind("\n", 0, at) + 1
+    if a and not s[a:at].strip():
+        a = s.rfind("\n", 0, a - 1) + 1
+    return s[max(a, at - 160) : at]
+
+
+def _literal(s: str, m: re.Match, depth: int = 1) -> Iterator[tuple[int, int, str, int]]:
+    """Findings of one string literal of ``s``."""
+    at = m.start(2)
+    for a, b, kind, layers, _ in _judged(_head(s, m.start()), m.group(2), depth):
+        yield at + a, at + b, kind, layers
+
+
+def _pieces(s: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The places of ``s[a:b]`` between escaped line ends."""
+    out = []
+    for m in _ESCAPED_END.finditer(s, a, b):
+        out.append((a, m.start()))
+        a = m.end()
+    return [*out, (a, b)]
+
+
+def _together(head: str, s: str, pieces: list[tuple[int, int]]) -> Iterator[tuple[int, str, int, tuple[tuple[int, int], ...]]]:
+    """(begin, kind, layers, places) of the findings of the value that stands in several ``pieces`` of ``s``."""
+    starts = [0]
+    for x, y in pieces:
+        starts.append(starts[-1] + y - x)
+    for a, b, kind, layers, begin in _judged(head, "".join(s[x:y] for x, y in pieces)):
+        parts = tuple((x + max(a - o, 0), x + min(b - o, y - x)) for (x, y), o in zip(pieces, starts) if max(a - o, 0) < min(b - o, y - x))
+        first = next(x + begin - o for (x, y), o in zip(pieces, starts) if o <= begin < o + y - x)
+        yield first, kind, layers, parts
+
+
+def _joined(s: str, literals: list[re.Match]) -> Iterator[tuple[int, str, int, tuple[tuple[int, int], ...]]]:
+    """Findings of the values that are put together from literals of ``s`` or go over escaped line ends."""
+    k = 0
+    while k < len(literals):
+        first, pieces = literals[k], _pieces(s, *literals[k].span(2))
+        while k + 1 < len(literals) and literals[k].group(3) and _GAP.fullmatch(s, literals[k].end(), literals[k + 1].start()):
+            k += 1
+            pieces += _pieces(s, *literals[k].span(2))
+        k += 1
+        if len(pieces) > 1:
+            yield from _together(_head(s, first.start()), s, pieces)
+
+
+def _blocks(text: str) -> Iterator[tuple[int, str, int, tuple[tuple[int, int], ...]]]:
+    """Findings of named strings over several lines that hold one wrapped value, a piece a line."""
+    done = -1
+    for m in _BLOCK.finditer(text):
+        end = text.find(m.group(1), m.end())
+        if m.start() < done or end < 0:
+            continue
+        lines = list(re.finditer(r"\S[^\n]*\S|\S", text[m.end() : end]))
+        if len(lines) < 1 or any(re.search(r"\s", x.group()) for x in lines):
+            continue
+        done = end
+        a = text.rfind("\n", 0, m.start()) + 1
+        yield from _together(text[max(a, m.start(1) - 160) : m.start(1)], text, [(m.end() + x.start(), m.end() + x.end()) for x in lines])
 
 
 def scan(text: str) -> list[Finding]:
@@ -292,12 +363,22 @@ def scan(text: str) -> list[Finding]:
     out: list[Finding] = []
     done = -1
     line_no, at = 1, 0
+    soft = {m.start(m.lastindex) for m in _SOFT.finditer(text)} if "\n" in text else ()
+    blocks = [Finding(p[0][0], p[-1][1], text.count("\n", 0, f) + 1, kind, layers, p) for f, kind, layers, p in _blocks(text)]
+    for f in blocks:
+        # judged as a whole; its lines are not looked at again
+        text = text[: f.start] + re.sub(r"\S", " ", text[f.start : f.end]) + text[f.end :]
     for t in _TRIGGER.finditer(text):
         if t.start() < done:
             continue
         a = text.rfind("\n", 0, t.start()) + 1
         b = text.find("\n", t.end())
         b = len(text) if b < 0 else b
+        while a - 1 in soft:
+            a = text.rfind("\n", 0, a - 1) + 1
+        while b in soft:
+            b = text.find("\n", b + 1)
+            b = len(text) if b < 0 else b
         line_no += text.count("\n", at, a)
         at, done = a, b + 1
         s = text[a:b]
@@ -310,39 +391,59 @@ def scan(text: str) -> list[Finding]:
                 if e:
                     done = max(done, e.end())
                 continue
-        found: dict[tuple[int, int], tuple[str, int]] = {}
-        quoted: list[tuple[int, int]] = []
-        for m in _LITERAL.finditer(s):
-            quoted.append(m.span())
+        literals = list(_LITERAL.finditer(s))
+        found: dict[tuple[int, int], Finding] = {}
+
+        def add(x: int, y: int, kind: str, layers: int, begin: int, parts: tuple[tuple[int, int], ...] = ()) -> None:
+            if not any(x < q and p < y for p, q in found):
+                found[x, y] = Finding(a + x, a + y, line_no + s.count("\n", 0, begin), kind, layers, tuple((a + p, a + q) for p, q in parts))
+
+        for begin, kind, layers, parts in _joined(s, literals):
+            add(parts[0][0], parts[-1][1], kind, layers, begin, parts)
+        for m in literals:
             for x, y, kind, layers in _literal(s, m):
-                found.setdefault((x, y), (kind, layers))
-        if not found:
-            for x, y, kind in _spots(s, True):
-                found.setdefault((x, y), (kind, 0))
-        if not found:
-            for m in _BARE.finditer(s):
-                v = m.group(2).rstrip(",;.)")
-                if any(p <= m.start(2) < q for p, q in quoted) or "(" in v or not _name_kind(m.group(1)):
-                    continue
-                if _strong(v) and re.search(r"\d", v) and (re.search(r"[^\w.]", v) or _entropy(v) > 3.3) and not re.fullmatch(r"[a-z]+(?:[_.][a-z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*", v):
-                    found[m.start(2), m.start(2) + len(v)] = ("assignment", 0)
-                elif r := _inside(v, "secret"):
-                    found[m.start(2), m.start(2) + len(v)] = r
-        if not found:
-            for m in _SAID.finditer(s):
-                v = m.group(1).rstrip(",;.)")
-                if _strong(v) and re.search(r"\d|[^\w.]", v) and "(" not in v:
-                    found[m.start(1), m.start(1) + len(v)] = ("note", 0)
-        if not found and _COMMENT.match(s) and (m := _SPOKEN.search(s)):
-            for t2 in re.finditer(r"[^\s\"'`<>]{10,}", s[m.end() : m.end() + 240]):
-                v = t2.group().rstrip(",;.)")
-                mixed = bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and "(" not in v
-                if mixed and _strong(v) and _entropy(v) > 2.8 and (re.search(r"[^\w./\-]", v) or re.fullmatch(r"[0-9a-f]{32,}", v) or (len(v) >= 16 and re.search(r"[A-Z].*[a-z]|[a-z].*[A-Z]", v) and not re.fullmatch(r"(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+|_[a-z]+)*\d{0,4}", v))):
-                    found[m.end() + t2.start(), m.end() + t2.start() + len(v)] = ("note", 0)
-                    break
-        for (x, y), (kind, layers) in sorted(found.items()):
-            out.append(Finding(a + x, a + y, line_no, kind, layers))
-    return out
+                add(x, y, kind, layers, x)
+        quoted = [m.span() for m in literals]
+        low = 0
+        for line in s.split("\n"):
+            _unquoted(line, low, quoted, found, add)
+            low += len(line) + 1
+        out += sorted(found.values())
+    return sorted(out + blocks)
+
+
+def _unquoted(s: str, low: int, quoted: list[tuple[int, int]], found: dict[tuple[int, int], Finding], add) -> None:
+    """Adds what the physical line ``s``, at ``low``, holds outside of literals."""
+
+    def none() -> bool:
+        return not any(x < low + len(s) and low < y for x, y in found)
+
+    if none():
+        for x, y, kind, _ in _spots(s, True):
+            add(low + x, low + y, kind, 0, low + x)
+    if none():
+        for m in _BARE.finditer(s):
+            v = m.group(2).rstrip(",;.)")
+            x = low + m.start(2)
+            if any(p <= x < q for p, q in quoted) or "(" in v or not _name_kind(m.group(1)):
+                continue
+            if _strong(v) and re.search(r"\d", v) and (re.search(r"[^\w.]", v) or _entropy(v) > 3.3) and not re.fullmatch(r"[a-z]+(?:[_.][a-z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*", v):
+                add(x, x + len(v), "assignment", 0, x)
+            elif r := _inside(v, "secret"):
+                add(x, x + len(v), *r, x)
+    if none():
+        for m in _SAID.finditer(s):
+            v = m.group(1).rstrip(",;.)")
+            if _strong(v) and re.search(r"\d|[^\w.]", v) and "(" not in v:
+                add(low + m.start(1), low + m.start(1) + len(v), "note", 0, low + m.start(1))
+    if none() and _COMMENT.match(s) and (m := _SPOKEN.search(s)):
+        for t2 in re.finditer(r"[^\s\"'`<>]{10,}", s[m.end() : m.end() + 240]):
+            v = t2.group().rstrip(",;.)")
+            mixed = bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and "(" not in v
+            if mixed and _strong(v) and _entropy(v) > 2.8 and (re.search(r"[^\w./\-]", v) or re.fullmatch(r"[0-9a-f]{32,}", v) or (len(v) >= 16 and re.search(r"[A-Z].*[a-z]|[a-z].*[A-Z]", v) and not re.fullmatch(r"(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+|_[a-z]+)*\d{0,4}", v))):
+                x = low + m.end() + t2.start()
+                add(x, x + len(v), "note", 0, x)
+                break
 
 
 def redact(text: str, findings: list[Finding] | None = None) -> str:
@@ -351,6 +452,11 @@ def redact(text: str, findings: list[Finding] | None = None) -> str:
     for f in sorted(findings if findings is not None else scan(text)):
         if f.start < at:
             continue
+        if f.parts:
+            for k, (x, y) in enumerate(f.parts):
+                out += [text[at:x], "" if k else MARK]
+                at = y
+            continue
         v = text[f.start : f.end]
         out += [text[at : f.start], re.sub(r"(?m)[A-Za-z0-9+/=]{8,}(?=[\s\"'`,;+\\]|-----|$)", MARK, v) if "-----BEGIN" in v else MARK]
         at = f.end

@@ -54,6 +54,28 @@ def test_key_over_lines():
     assert "MIIEvQ" not in out and out.count("\n") == text.count("\n") and out.endswith("'''\nb")
 
 
+PEM64 = base64.b64encode(("password=" + K * 4).encode()).decode()
+TOGETHER = [
+    'const seedAccessToken = "AKIAONSPHF" +\n    "YHGWLSRFVB";', 'access_token = ("AKIAKPIXP3"\n            "CFFIV4IYTG")', f'apiKey = "{K[:12]}" + "{K[12:]}"', f'api_key = "{K[:12]}" \\\n    "{K[12:]}"', f'api_key = "{K[:12]}\\\n{K[12:]}";',
+    f'secret = (\n    "{K[:12]}"  # first\n    "{K[12:]}"\n)', f'url = "postgres://svc:" + "{K[:9]}" +\n  "{K[9:]}@db.invalid/x"', f'v = "{PEM64[:40]}" +\r\n  "{PEM64[40:]}"', f'v = """\n{PEM64[:40]}\n{PEM64[40:80]}\n{PEM64[80:]}\n"""', f'client_secret = `\n  {K[:12]}\n  {K[12:]}\n`',
+]
+
+
+@pytest.mark.parametrize("text", TOGETHER)
+def test_values_in_several_literals(text):
+    f = scan("first line\n" + text + "\nlast")
+    first = min(text.find(x) for x in ("AKIA", K[:9], PEM64[:9], "postgres") if x in text)
+    assert [x.line_no for x in f] == [2 + text.count("\n", 0, first)]
+    out = redact(text)
+    assert not any(x in out for x in ("AKIA", "YHGW", "CFFIV", K[:9], K[12:], PEM64[40:60], PEM64[-9:])) and not scan(out)
+    assert all(out.count(c) == text.count(c) for c in "\"'`\n+")
+
+
+def test_separate_literals_stay_separate():
+    for text in ('import (\n\t"drawer/sensorMixed"\n\t"session/albumCoupon"\n)', 'token = "please " + "wait"', 'password = "change" + "me"', 'secret = """\nread the\nmanual 12\n"""'):
+        assert scan(text) == []
+
+
 def test_redacted_python_still_parses():
     import ast
 
