@@ -78,6 +78,10 @@ _COMMENT = re.compile(r"^\s*(?://|#|\*|--|<!--|/\*|;|>|[-*] )")
 _SPOKEN = re.compile(r"(?i)\b(?:password|passwd|pwd|pass|passphrase|secret|token|api key|access key|key|credentials?)\b")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# lines of a key whose end is missing: headers, and whole lines of base64 as they stand in texts, literals and comments
+_PEM_LINES = re.compile(r"""(?:(?:\\r)?(?:\\n)?[\s"'`+,;()*\#]*(?:\\r|\\n|//[ \t])*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{2,15}={1,2}))(?=[\s"'`,;\\]|\Z))*""")
+_RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_PEM_SECRET = re.compile(r"(?m)(-----[A-Z0-9 ]+-----|\\[nrt])|(?:[A-Za-z0-9+/=]{8,}|[A-Za-z0-9+/]{2,7}={1,2})(?=[\s\"'`,;+\\]|-----|$)")
 _BARE = re.compile(r"(?:^|[\s\"'`(\[{,;>*#/|-])([A-Za-z_][\w.\-]*)[\"'`*]*\s*(?::=|=|:)\s*([^\s\"'`]+)")
 _PLACE = re.compile(
     r"(?ix)^(?:.*(?:\$\{|\{\{|\$\(|%\(|<[\w\s-]+>|\{[a-z_]\w*\}|%[sdv]\b|\#\{).*|\$[A-Z_a-z]\w*|%\w+%|@\w+@|\{\w*\}|<.*>|\[.*\]"
@@ -250,7 +254,7 @@ def _spots(s: str, bare: bool = False) -> Iterator[tuple[int, int, str, int]]:
         for m in _PEM.finditer(s):
             e = _PEM_END.search(s, m.end())
             body = s[m.end() : e.start() if e else len(s)]
-            if len(re.sub(r"\\n|[\s\"'+`,;]", "", body)) >= 16 or not e:
+            if MARK not in body and (len(re.sub(r"\\n|[\s\"'+`,;]", "", body)) >= 16 or not e):
                 yield m.start(), e.end() if e else len(s), "private key", m.start()
     if "://" in s and "@" in s:
         for m in _URL.finditer(s):
@@ -358,6 +362,28 @@ def _blocks(text: str) -> Iterator[tuple[int, str, int, tuple[tuple[int, int], .
         yield from _together(text[max(a, m.start(1) - 160) : m.start(1)], text, [(m.end() + x.start(), m.end() + x.end()) for x in lines])
 
 
+def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the private keys in ``text``, to the end of its base64 lines where the end mark is missing."""
+    begins = list(_PEM.finditer(text)) if "-----BEGIN" in text else []
+    for k, p in enumerate(begins):
+        e = _PEM_END.search(text, p.end(), begins[k + 1].start() if k + 1 < len(begins) else len(text))
+        end = e.end() if e else 0
+        body = re.sub(r"\\n|-----[A-Z0-9 ]*-----|[\s\"'+`,;\\]", "", text[p.start() : end])
+        # an end mark far away, behind other text, is not that of this key
+        if e and "\n" in text[p.end() : e.start()] and 2 * sum(map(len, _RUN.findall(text, p.end(), e.start()))) < len(body):
+            e = None
+        if not e:
+            end = _PEM_LINES.match(text, p.end()).end()
+            body = re.sub(r"\\n|-----[A-Z0-9 ]*-----|[\s\"'+`,;\\]", "", text[p.start() : end])
+        if len(body) >= 16 and not _PLACE.match(body) and "..." not in body:
+            yield p.start(), end
+
+
+def _hidden(text: str, start: int, end: int) -> str:
+    """``text`` with blanks for ``text[start:end]``, but for quotes and line ends."""
+    return text[:start] + re.sub(r"(\\[\"'`])|[^\s\"'`]", lambda m: m.group(1) or " ", text[start:end]) + text[end:]
+
+
 def scan(text: str) -> list[Finding]:
     """Findings in ``text``, by position. A value over several lines is at the line where it begins."""
     out: list[Finding] = []
@@ -365,9 +391,10 @@ def scan(text: str) -> list[Finding]:
     line_no, at = 1, 0
     soft = {m.start(m.lastindex) for m in _SOFT.finditer(text)} if "\n" in text else ()
     blocks = [Finding(p[0][0], p[-1][1], text.count("\n", 0, f) + 1, kind, layers, p) for f, kind, layers, p in _blocks(text)]
+    blocks += [Finding(x, y, text.count("\n", 0, x) + 1, "private key", 0) for x, y in _key_blocks(text) if not any(x < f.end and f.start < y for f in blocks)]
     for f in blocks:
-        # judged as a whole; its lines are not looked at again
-        text = text[: f.start] + re.sub(r"\S", " ", text[f.start : f.end]) + text[f.end :]
+        # judged as a whole; what stands before and after it is looked at as any text
+        text = _hidden(text, f.start, f.end)
     for t in _TRIGGER.finditer(text):
         if t.start() < done:
             continue
@@ -382,21 +409,13 @@ def scan(text: str) -> list[Finding]:
         line_no += text.count("\n", at, a)
         at, done = a, b + 1
         s = text[a:b]
-        if "-----BEGIN" in s and (p := _PEM.search(s)):
-            e = _PEM_END.search(text, a + p.end())
-            whole = text[a + p.start() : e.end() if e else b]
-            body = re.sub(r"\\n|-----[A-Z0-9 ]*-----|[\s\"'+`,;\\]", "", whole)
-            if len(body) >= 16 and not _PLACE.match(body) and "..." not in body:
-                out.append(Finding(a + p.start(), e.end() + 0 if e else b, line_no, "private key", 0))
-                if e:
-                    done = max(done, e.end())
-                continue
         literals = list(_LITERAL.finditer(s))
         found: dict[tuple[int, int], Finding] = {}
 
-        def add(x: int, y: int, kind: str, layers: int, begin: int, parts: tuple[tuple[int, int], ...] = ()) -> None:
-            if not any(x < q and p < y for p, q in found):
+        def add(x: int, y: int, kind: str, layers: int, begin: int, parts: tuple[tuple[int, int], ...] = ()) -> bool:
+            if new := not any(x < q and p < y for p, q in found):
                 found[x, y] = Finding(a + x, a + y, line_no + s.count("\n", 0, begin), kind, layers, tuple((a + p, a + q) for p, q in parts))
+            return new
 
         for begin, kind, layers, parts in _joined(s, literals):
             add(parts[0][0], parts[-1][1], kind, layers, begin, parts)
@@ -406,44 +425,37 @@ def scan(text: str) -> list[Finding]:
         quoted = [m.span() for m in literals]
         low = 0
         for line in s.split("\n"):
-            _unquoted(line, low, quoted, found, add)
+            _unquoted(line, low, quoted, add)
             low += len(line) + 1
         out += sorted(found.values())
     return sorted(out + blocks)
 
 
-def _unquoted(s: str, low: int, quoted: list[tuple[int, int]], found: dict[tuple[int, int], Finding], add) -> None:
-    """Adds what the physical line ``s``, at ``low``, holds outside of literals."""
-
-    def none() -> bool:
-        return not any(x < low + len(s) and low < y for x, y in found)
-
-    if none():
-        for x, y, kind, _ in _spots(s, True):
-            add(low + x, low + y, kind, 0, low + x)
-    if none():
-        for m in _BARE.finditer(s):
-            v = m.group(2).rstrip(",;.)")
-            x = low + m.start(2)
-            if any(p <= x < q for p, q in quoted) or "(" in v or not _name_kind(m.group(1)):
-                continue
-            if _strong(v) and re.search(r"\d", v) and (re.search(r"[^\w.]", v) or _entropy(v) > 3.3) and not re.fullmatch(r"[a-z]+(?:[_.][a-z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*", v):
-                add(x, x + len(v), "assignment", 0, x)
-            elif r := _inside(v, "secret"):
-                add(x, x + len(v), *r, x)
-    if none():
-        for m in _SAID.finditer(s):
-            v = m.group(1).rstrip(",;.)")
-            if _strong(v) and re.search(r"\d|[^\w.]", v) and "(" not in v:
-                add(low + m.start(1), low + m.start(1) + len(v), "note", 0, low + m.start(1))
-    if none() and _COMMENT.match(s) and (m := _SPOKEN.search(s)):
+def _unquoted(s: str, low: int, quoted: list[tuple[int, int]], add) -> None:
+    """Adds what the physical line ``s``, at ``low``, holds outside of literals; what overlaps earlier findings is not added."""
+    for x, y, kind, _ in _spots(s, True):
+        add(low + x, low + y, kind, 0, low + x)
+    for m in _BARE.finditer(s):
+        v = m.group(2).rstrip(",;.)")
+        x = low + m.start(2)
+        if any(p <= x < q for p, q in quoted) or "(" in v or not _name_kind(m.group(1)):
+            continue
+        if _strong(v) and re.search(r"\d", v) and (re.search(r"[^\w.]", v) or _entropy(v) > 3.3) and not re.fullmatch(r"[a-z]+(?:[_.][a-z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*", v):
+            add(x, x + len(v), "assignment", 0, x)
+        elif r := _inside(v, "secret"):
+            add(x, x + len(v), *r, x)
+    for m in _SAID.finditer(s):
+        v = m.group(1).rstrip(",;.)")
+        if _strong(v) and re.search(r"\d|[^\w.]", v) and "(" not in v:
+            add(low + m.start(1), low + m.start(1) + len(v), "note", 0, low + m.start(1))
+    if _COMMENT.match(s) and (m := _SPOKEN.search(s)):
         for t2 in re.finditer(r"[^\s\"'`<>]{10,}", s[m.end() : m.end() + 240]):
             v = t2.group().rstrip(",;.)")
             mixed = bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and "(" not in v
             if mixed and _strong(v) and _entropy(v) > 2.8 and (re.search(r"[^\w./\-]", v) or re.fullmatch(r"[0-9a-f]{32,}", v) or (len(v) >= 16 and re.search(r"[A-Z].*[a-z]|[a-z].*[A-Z]", v) and not re.fullmatch(r"(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+|_[a-z]+)*\d{0,4}", v))):
                 x = low + m.end() + t2.start()
-                add(x, x + len(v), "note", 0, x)
-                break
+                if add(x, x + len(v), "note", 0, x):
+                    break
 
 
 def redact(text: str, findings: list[Finding] | None = None) -> str:
@@ -458,7 +470,7 @@ def redact(text: str, findings: list[Finding] | None = None) -> str:
                 at = y
             continue
         v = text[f.start : f.end]
-        out += [text[at : f.start], re.sub(r"(?m)[A-Za-z0-9+/=]{8,}(?=[\s\"'`,;+\\]|-----|$)", MARK, v) if "-----BEGIN" in v else MARK]
+        out += [text[at : f.start], _PEM_SECRET.sub(lambda m: m.group(1) or MARK, v) if "-----BEGIN" in v else MARK]
         at = f.end
     return "".join([*out, text[at:]])
 

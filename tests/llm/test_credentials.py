@@ -1,4 +1,5 @@
 import base64
+import json
 
 import pytest
 
@@ -76,6 +77,23 @@ def test_separate_literals_stay_separate():
         assert scan(text) == []
 
 
+KEY64 = base64.b64encode(bytes(range(48))).decode()
+PEM = rf"-----BEGIN PRIVATE KEY-----\n{KEY64}\n{KEY64}\n-----END PRIVATE KEY-----"
+SEVERAL = [
+    (f"API_TOKEN={K} postgres://u:Qw8zT1xR0pLk@h.invalid/0", (K, "Qw8zT1xR0pLk")), (f'password = "Album@south3158" -u svc:{K}', ("Album@south3158", K)), (f'{{"private_key": "{PEM}", "password": "Album@south3158"}}', (KEY64, "Album@south3158")),
+    (f'{{"api_key": "{K}", "a": "{PEM}", "b": "{PEM}"}}', (KEY64, K)), (f"x\n-----BEGIN RSA PRIVATE KEY-----\n{KEY64}\n{KEY64}", (KEY64,)), (f'p = "-----BEGIN PRIVATE KEY-----\\n" +\n  "{KEY64}\\n" +\n  "{KEY64}', (KEY64,)), (f"-----BEGIN PRIVATE KEY-----\n{KEY64}\nreturn other_value\ntoken: {K}", (KEY64, K)),
+]
+
+
+@pytest.mark.parametrize("text,secrets", SEVERAL)
+def test_all_kinds_of_a_line(text, secrets):
+    out = redact(text)
+    assert not any(x in out for x in secrets) and not [f for f in scan(out) if f.kind != "private key" or "-----END" in text] and out.count("\n") == text.count("\n") and out.count('"') == text.count('"')
+    assert "\\R" not in out and ("return other_value" in out) == ("return other_value" in text)
+    if text[0] == "{":
+        assert set(json.loads(out)) == set(json.loads(text))
+
+
 def test_redacted_python_still_parses():
     import ast
 
