@@ -77,9 +77,9 @@ def split_notice(path: str, text: str) -> tuple[int, str]:
     lead, body = (m.group(), text[m.end() :]) if m else ("", text)
     if path.endswith((".md", ".txt", ".rst")):
         return 0, body
-    lines = lead.split("\n")[:60]
+    lines = lead.split("\n")
     tool = bool(TOOL_NAME.search(path.rsplit("/", 1)[-1])) or any(GENERATED.search(x) or BANNER.search(x) for x in lines)
-    if LOCK.search(body[:4000]):
+    if LOCK.search(body):
         tool, body = True, LOCK.sub("", body)
     foreign = bool(FOREIGN_DIR.search(path)) or any(FOREIGN.search(x) for x in lines)
     return (1 if tool else 2 if foreign else 0), body

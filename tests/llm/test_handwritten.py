@@ -28,6 +28,14 @@ def test_notices():
     assert len(features("a.py", "")) == len(features("a.py", "x = 1\n"))
 
 
+def test_notices_behind_long_texts():
+    licence = "".join(f"// line {k} of a long licence text\n" for k in range(200))
+    assert split_notice("/r/a.go", licence + "// Code generated by x. DO NOT EDIT.\npackage a\n")[0] == 1
+    assert split_notice("/r/a.js", licence + "// Copyright (c) The Cache Authors.\nx\n")[0] == 2
+    notice, body = split_notice("/r/deps.json", '{"dependencies": {' + ", ".join(f'"package{k}": "1.0.{k}"' for k in range(500)) + '}, "lockfileVersion": 2}')
+    assert notice == 1 and "lockfileVersion" not in body
+
+
 def test_forest_finds_what_has_no_notice(spark):
     rnd = random.Random(4)
     files, chunks, truth = [], [], set()
