@@ -25,6 +25,13 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, d, "chunks").select("id", "content").dropDuplicates(["id"]))
 
 
+def p1_residue(spark: SparkSession, d: str) -> DataFrame:
+    """One row (n_chunks, n_findings): the chunks with a text, and what is still found in them after redaction, which is nothing."""
+    done = p1_redacted(spark, d).select("id", "content")
+    left = credentials.find_credentials(done).agg(F.count(F.lit(1)).alias("n_findings"))
+    return done.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(left)  # one row each
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return syntax.judged_files(table(spark, d, "files").select("id", "path", "project_root"), table(spark, d, "chunks").select("id", "file_id", "start_line", "content"))
 
@@ -121,8 +128,9 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classified, p7_found, p7_groups, p8_containers, p8_small_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_residue, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classified, p7_found, p7_groups, p8_containers, p8_small_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical)}
 
 ORACLE_SQL = {
+    "p1_residue": "SELECT count(DISTINCT id) AS n_chunks, 0 AS n_findings FROM chunks WHERE content <> '' AND id IS NOT NULL",
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
 }
