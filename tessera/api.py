@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 import sys
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions import text as X
-from tessera.functions.embedders import Embedder, HashEmbedder, ZeroEmbedder
+from tessera.functions.embedders import Embedder, ZeroEmbedder, embedder_of
 from tessera.index import call_table, chunk_files, embed_chunks
 from tessera.operators import store as S
 from tessera.operators.fulltext import build_postings, corpus_stats
 from tessera.operators.fusion import Filters, hybrid_search, keyword_search
-from tessera.operators.vectors import searchable
-from tessera.sources.scan import scan_tree, with_hash, with_text
+from tessera.operators.vectors import searchable, stored_dimension
+from tessera.session import materialize, stages
+from tessera.sources.scan import ignore_globs, list_tree, read_files, stat_files, with_hash, with_text
+from tessera.streaming.ingest import GONE, latest_events, run_stream, tick_stream
+
+_LOG = logging.getLogger("tessera")
 
 
 def find_references(chunks: DataFrame, links: DataFrame, symbol: str) -> DataFrame:
@@ -49,47 +55,87 @@ def status(files: DataFrame, chunks: DataFrame, vectors: DataFrame, pending: int
 
 
 class Engine:
-    """An index under a folder. Methods that answer with rows return DataFrames; ``call`` answers with JSON."""
+    """An index under a folder. Methods that answer with rows return DataFrames; ``call`` answers with JSON.
+
+    The embedding back end is the one that the configuration asks for. ``live``: watched folders are followed by a stream."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embedder: Embedder | None = None):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embedder: Embedder | None = None, live: bool = False):
+        self.spark, self.folder, self.live = spark, folder, live
         self.config = config or Config.load(os.path.join(folder, "config.json"))
-        self.embedder = embedder or (ZeroEmbedder() if self.config.embedding_backend == "none" else HashEmbedder())
+        self.embedder = embedder or embedder_of(self.config.embedding_backend, self.config.embedding_model, self.config.openai_key, folder)
         self.store = S.Store(spark, os.path.join(folder, "tables"))
         self.pending = 0
         self.stopped = False
+        self._lock = threading.RLock()
+        self._watch = None
 
     # --- indexing ---
 
     def scan(self, root: str, force: bool = False) -> int:
-        """Index what is new or changed below ``root`` and forget what is gone; returns the number of files indexed."""
+        """Index what is new or changed below ``root`` and forget what is gone; returns the number of files indexed. Only the files that differ
+        from the stored size or time are read, and only what differs is written."""
+        with self._lock, stages(self.spark):
+            seen = materialize(list_tree(self.spark, root, ignore_globs(self.folder)).filter(X.is_indexed_type(F.col("path"))), "seen")
+            files = self.store.table("files")
+            todo = seen if force else S.changed_by_metadata(seen, files)
+            gone = files.filter(F.col("project_root") == os.path.realpath(root)).join(seen.select("path"), "path", "left_anti").select("path")
+            return self._apply(todo, gone)
+
+    def _apply(self, todo: DataFrame, gone: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Index the files ``todo`` (path, size, last_modified, project_root) and forget the paths ``gone``, in one commit."""
+        self.check_dimension()
         tables = self.store.tables()
-        seen = with_hash(scan_tree(self.spark, root)).filter(X.is_indexed_type(F.col("path"))).cache()
-        todo = seen if force else S.changed_by_metadata(seen, tables["files"])
-        todo = with_text(todo).cache()
+        todo = materialize(with_text(with_hash(read_files(todo.select("path", "size", "last_modified", "project_root")))), "todo")
         self.pending = n = todo.count()
-        here = tables["files"].filter(F.col("project_root") == os.path.realpath(root))
-        gone = here.join(seen.select("path"), "path", "left_anti").select("path")
-        tables = S.delete_files(tables, gone)
-        files = S.upsert_files(tables["files"], todo)
-        new = embed_chunks(chunk_files(todo), self.embedder)
-        old = tables["chunks"].join(files.join(todo.select("path"), "path").select(F.col("id").alias("file_id")), "file_id", "left_semi")
-        links = tables["symbol_links"].join(old.select(F.col("id").alias("from_chunk_id")), "from_chunk_id", "left_anti")
-        chunks = S.insert_chunks(tables["chunks"], files, new).cache()
-        known = chunks.join(files.join(todo.select("path", "text"), "path").select(F.col("id").alias("file_id"), "path", "text"), "file_id")
-        texts = known.select("file_id", "path", "text").distinct().withColumn("language", X.language(F.col("path")))
-        calls = call_table(texts, "file_id", "long")
-        fresh = S.first_chunk_links(chunks, calls)
-        top = links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-        fresh = S.number_rows(fresh, ["from_chunk_id", "to_symbol_name"], "_k").crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_k")).alias("id"), "from_chunk_id", "to_symbol_name", "link_type")
-        files = files.join(todo.select("path", F.lit(1).alias("_done")), "path", "left").withColumn("is_indexed", F.coalesce("_done", "is_indexed")).drop("_done")
+        gone = materialize(gone.join(tables["files"].select("path"), "path", "left_semi"), "gone")
+        if not n and gone.isEmpty():
+            return 0
+        stored = tables["files"].join(todo.select("path"), "path", "left_semi")
+        files = materialize(S.upsert_files(stored, todo, S.top_id(tables["files"])).withColumn("is_indexed", F.lit(1)), "files")
+        touched = gone.unionByName(todo.select("path"))
+        old_files = tables["files"].join(touched, "path", "left_semi").select(F.col("id").alias("file_id"))
+        old = materialize(tables["chunks"].join(old_files, "file_id", "left_semi").select("id", "file_id"), "old")
+        new = embed_chunks(chunk_files(todo), self.embedder).join(files.select("path", F.col("id").alias("file_id")), "path")
+        chunks = materialize(S.numbered_after(new, ["path", "ordinal"], S.top_id(tables["chunks"])), "chunks")
+        texts = todo.join(files.select("path", F.col("id").alias("file_id")), "path").withColumn("language", X.language(F.col("path")))
+        fresh = S.first_chunk_links(chunks, call_table(texts, "file_id", "long"))
+        links = S.numbered_after(fresh, ["from_chunk_id", "to_symbol_name"], S.top_id(tables["symbol_links"]))
         postings, lengths = build_postings(chunks)
-        self.store.commit({"files": files, "chunks": chunks, "symbol_links": links.select("id", "from_chunk_id", "to_symbol_name", "link_type").unionByName(fresh), "postings": postings.repartitionByRange("term").sortWithinPartitions("term"), "lengths": lengths})
+        self.store.change(
+            {"files": files, "chunks": chunks, "symbol_links": links, "postings": postings.repartitionByRange("term").sortWithinPartitions("term"), "lengths": lengths},
+            {"files": touched, "chunks": old, "symbol_links": old.select(F.col("id").alias("from_chunk_id")), "postings": old.select("id"), "lengths": old.select("id")},
+            batch,
+        )
         self.pending = 0
-        for df in (seen, todo, chunks):
-            df.unpersist()
         return n
 
+    def check_dimension(self) -> bool:
+        """Wipe the chunks of a store whose vectors have another size than the back end's (all files are due again); a back end that can't
+        tell its size changes nothing."""
+        size = self.embedder.dimension()
+        stored = stored_dimension(self.store.table("chunks"), "embedding").first()[0] if size else 0
+        if not stored or stored == size:
+            return False
+        _LOG.warning("stored vectors have %d elements, the back end's %d: all files will be indexed again", stored, size)
+        self._wipe()
+        return True
+
+    def _wipe(self) -> None:
+        tables = S.wipe_chunks(self.store.tables())
+        empty = {n: self.store.table(n).limit(0) for n in ("postings", "lengths") if n in self.store.versions()}
+        self.store.commit({**tables, **empty})
+
+    def embed_missing(self) -> int:
+        """Vectors for the chunks that have none because the back end did not answer; returns their number."""
+        with self._lock, stages(self.spark):
+            chunks = self.store.table("chunks")
+            done = materialize(embed_chunks(chunks.filter("embedding is null and content is not null"), self.embedder).filter("embedding is not null"), "embedded")
+            n = done.count()
+            if n:
+                fill = done.select("id", F.col("embedding").alias("_e"))
+                self.store.commit({"chunks": chunks.join(fill, "id", "left").withColumn("embedding", F.coalesce("embedding", "_e")).drop("_e")})
+            return n
+
     def watch_add(self, path: str) -> str:
         real = os.path.realpath(path)
         if not os.path.isdir(real):
@@ -100,11 +146,36 @@ class Engine:
         os.makedirs(self.folder, exist_ok=True)
         self.config.save(os.path.join(self.folder, "config.json"))
         self.scan(real)
+        if self.live:
+            self.watch()
         return f"added: {real}"
 
+    def watch(self, interval: str = "1 second"):
+        """The stream that follows all watched folders: at each tick it compares their trees with the store and indexes the difference, so edits,
+        deletes, renames and what happened while nothing ran are all seen, and a tick that is repeated after a loss changes nothing."""
+        if self._watch is None or not self._watch.isActive:
+            self._watch = run_stream(tick_stream(self.spark), None, lambda batch, number: [self.scan(p) for p in list(self.config.watch_paths) if os.path.isdir(p)], interval=interval)
+        return self._watch
+
+    def follow(self, events: DataFrame, checkpoint: str, name: str = "events"):
+        """Apply a stream of file events (path, event_type, ts, received_at), what is there now: the last event of a path in a batch decides; a
+        path that was deleted or renamed is forgotten, another is read again. Each batch's number is committed with its tables."""
+        return run_stream(events, checkpoint, lambda batch, number: self.apply_events(batch, (name, number)))
+
+    def apply_events(self, events: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        if batch and self.store.applied(batch[0]) >= batch[1]:
+            return 0
+        with self._lock, stages(self.spark):
+            last = materialize(latest_events(events), "events")
+            roots = self.spark.createDataFrame([(k, p) for k, p in enumerate(self.config.watch_paths)], "ordinal int, root string")
+            there = materialize(stat_files(last.filter(~F.col("event_type").isin(*GONE)).select("path"), roots, ignore_globs(self.folder)).filter(X.is_indexed_type(F.col("path"))), "there")
+            gone = last.filter(F.col("event_type").isin(*GONE)).select("path")
+            return self._apply(S.changed_by_metadata(there, self.store.table("files")), gone, batch)
+
     def reindex(self) -> int:
-        self.store.commit(S.wipe_chunks({n: df for n, df in self.store.tables().items()}))
-        return sum(self.scan(p) for p in self.config.watch_paths)
+        with self._lock:
+            self._wipe()
+            return sum(self.scan(p) for p in self.config.watch_paths)
 
     # --- answers ---
 
@@ -134,7 +205,7 @@ class Engine:
             return f.read()
 
     def summarize_project(self, root: str) -> DataFrame:
-        return scan_tree(self.spark, root, with_content=False).select("path", "size")
+        return list_tree(self.spark, root, ignore_globs(self.folder)).select("path", "size")
 
     def call(self, request: str) -> str:
         """{"method", "params"} to {"result"} or {"error"}."""
@@ -156,10 +227,14 @@ class Engine:
         try:
             return json.dumps({"result": methods[m]()})
         except Exception:
+            _LOG.exception("%s failed", m)  # the caller's protocol has one word for it
             return json.dumps({"error": "error"})
 
     def shutdown(self) -> str:
         self.stopped = True
+        if self._watch is not None:
+            self._watch.stop()
+            self._watch = None
         return "shutting down"
 
 
@@ -223,9 +298,12 @@ def main(argv: list[str] | None = None) -> int:
     o = a.parse_args(argv)
     from tessera.session import get_session
 
-    engine = Engine(get_session(master="local[*]"), o.index)
+    engine = Engine(get_session(master="local[*]"), o.index, live=o.method == "serve")
     if o.method == "serve":
+        if engine.config.watch_paths:
+            engine.watch()
         ToolServer(engine).serve()
+        engine.shutdown()
         return 0
     params = [o.args[0], int(o.args[1])] if o.method == "query" and len(o.args) > 1 else o.args
     print(engine.call(json.dumps({"method": {"watch": "watch_add"}.get(o.method, o.method), "params": params})))

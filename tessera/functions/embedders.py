@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -108,15 +110,30 @@ class RemoteEmbedder:
     field: str = "prompt"
     transport: Callable[[str, dict, dict], dict] = _post
     size: int = 0
+    #: Attempts of a request, seconds before the second one (doubled each time), requests that a task has under way.
+    tries: int = 3
+    wait: float = 0.2
+    parallel: int = 8
 
     def embed(self, text: str) -> list[float]:
-        try:
-            r = self.transport(self.url, {"model": self.model, self.field: text}, {"Authorization": f"Bearer {self.key}"} if self.key else {})
-            v = r["embedding"] if "embedding" in r else r["data"][0]["embedding"]
-            self.size = len(v)
-            return list(map(float, v))
-        except Exception:
-            return []
+        """[] where the service has no answer after all attempts."""
+        for k in range(self.tries):
+            if k:
+                time.sleep(self.wait * 2 ** (k - 1))
+            try:
+                r = self.transport(self.url, {"model": self.model, self.field: text}, {"Authorization": f"Bearer {self.key}"} if self.key else {})
+                v = r["embedding"] if "embedding" in r else r["data"][0]["embedding"]
+                self.size = len(v)
+                return list(map(float, v))
+            except (KeyError, IndexError, TypeError, ValueError):
+                return []  # an answer without a vector: asking again changes nothing
+            except Exception:
+                continue
+        return []
+
+    def embed_all(self, texts: list[str]) -> list[list[float]]:
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return list(pool.map(self.embed, texts))
 
     def dimension(self) -> int:
         """Asks the service once if no vector has come yet, so that a stored index is compared with a real size."""
@@ -141,12 +158,40 @@ def embed_column(text: Column, embedder: Embedder) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: None if t is None else embedder.embed(t) or None)
+            # each distinct text of a batch once, all of them together where the back end can
+            texts = [t for t in s.unique() if t is not None]
+            many = getattr(embedder, "embed_all", None)
+            done = dict(zip(texts, many(texts) if many else map(embedder.embed, texts)))
+            yield pd.Series([done.get(t) or None for t in s], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, _FLOATS)(text)
 
 
+def is_reachable(url: str = "http://localhost:11434/api/tags") -> bool:
+    try:
+        with urllib.request.urlopen(url, timeout=1):
+            return True
+    except OSError:
+        return False
+
+
+def embedder_of(backend: str, model: str, openai_key: str = "", data_dir: str = ".", env: dict[str, str] | None = None, reachable: Callable[[], bool] = is_reachable) -> Embedder:
+    """The back end that a configuration asks for (``choose_backend``); 'hash' is the deterministic one for tests."""
+    if backend == "hash":
+        return HashEmbedder()
+    kind, detail = choose_backend(backend, dict(os.environ) if env is None else env, openai_key, reachable=reachable, data_dir=data_dir)
+    if kind == "openai":
+        return openai_embedder(detail)
+    if kind == "none":
+        return ZeroEmbedder()
+    if kind == "onnx":
+        with open(os.path.join(detail, "vocab.txt"), encoding="utf-8") as f:
+            vocab = {w.rstrip("\r\n"): k for k, w in enumerate(f)}
+        return OnnxEmbedder(os.path.join(detail, "model.onnx"), vocab)
+    return RemoteEmbedder(model)
+
+
 def choose_backend(backend: str, env: dict[str, str], openai_key: str = "", exists: Callable[[str], bool] = os.path.exists, reachable: Callable[[], bool] = lambda: False, data_dir: str = ".") -> tuple[str, str]:
     """(kind, detail): the back end to use. A key in the environment wins over the configuration's; 'none' is the zero embedder; a local
     model, in the data folder or the current one, is preferred to a service; nothing is ever downloaded."""

@@ -32,7 +32,7 @@ LANGUAGES = {
 INDEXED = ["cpp", "hpp", "h", "md", "txt", "json", "py", "js", "ts", "go", "rs", "java", "cs", "php", "rb"]
 WITH_SYMBOLS = ["py", "cpp", "hpp", "h", "cc", "go", "rs", "js", "ts", "java", "cs", "php", "rb"]
 IGNORED = [
-    ".git", ".svn", ".hg", "build", "dist", "node_modules", "*.o", "*.obj", "*.exe", "*.dll", "*.so", "*.dylib", ".DS_Store", "Thumbs.db", "tessera.db", "tessera.db-journal", "tesserad.log", "config.json", "model.onnx", "vocab.txt",
+    ".git", ".svn", ".hg", "build", "dist", "node_modules", "*.o", "*.obj", "*.exe", "*.dll", "*.so", "*.dylib", ".DS_Store", "Thumbs.db", "config.json", "model.onnx", "vocab.txt",
 ]
 
 
@@ -87,13 +87,6 @@ def parse_ignore_file(text: str) -> list[str]:
     return [x for x in (line.strip(" \t\r") for line in text.split("\n")) if x and not x.startswith("#")]
 
 
-def matches_any(name: Column, globs: list[str]) -> Column:
-    """Whether a file or directory name matches one of the globs as a whole."""
-    if not globs:
-        return F.lit(False)
-    return name.rlike("^(?:" + "|".join(glob_regex(g) for g in globs) + ")$")
-
-
 def ignored(path: Column, root: Column, globs: list[str]) -> Column:
     """Whether a component of ``path`` below ``root`` matches (a matching directory prunes what is in it)."""
     inner = F.split(F.substring(path, F.length(root) + 2, F.lit(1 << 30)), "/")
@@ -103,10 +96,6 @@ def ignored(path: Column, root: Column, globs: list[str]) -> Column:
     return F.exists(inner, lambda p: p.rlike(whole))
 
 
-def symbol_kind(node: Column) -> Column:
-    return F.when(node.rlike("class|struct|type_declaration"), "class").otherwise("function")
-
-
 def uri(path: Column, scheme: str = "tessera://") -> Column:
     return F.concat(F.lit(scheme), path)
 
@@ -115,10 +104,6 @@ def path_of_uri(u: str, scheme: str = "tessera://") -> str:
     return u[len(scheme) :] if u.startswith(scheme) else u
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def is_regex(glob: str) -> bool:
     try:
         re.compile(glob_regex(glob))

@@ -17,7 +17,7 @@ from tessera.operators import chunking as K
 from tessera.operators import store as S
 from tessera.plans.retrieval import chunks, files
 from tessera.schema import CHUNKS, FILES
-from tessera.session import materialize, shared_dir
+from tessera.session import shared_dir
 from tessera.sources.scan import assign_root, scan_tree, snapshot_events, with_hash
 from tessera.sources.tables import table
 from tessera.streaming import ingest as I
@@ -234,17 +234,20 @@ def snapshot_diff(spark, d):
 
 
 def stream_ingest(spark, d):
-    """The event file as a stream, batch by batch into a state that the last writer wins."""
+    """The event file as a stream, batch by batch into a state that the last writer wins. The state is committed to a store together with
+    the batch's number, so that a batch that is repeated after a restart changes nothing."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     src = f"{d}/file_events.parquet"
     stream = I.event_stream(spark, src if os.path.isdir(src) else os.path.join(d, "file_events.parque[t]"), 4)
-    holder = {"state": spark.createDataFrame([], "path string, event_type string, ts timestamp_ntz")}
+    store = S.Store(spark, f"{base}/store")
+    empty = spark.createDataFrame([], "path string, event_type string, ts timestamp_ntz")
 
     def apply(batch: DataFrame, number: int) -> None:
-        holder["state"] = materialize(I.merge_state(holder["state"], batch), f"state-{number}")
+        state = store.table("state") if "state" in store.versions() else empty
+        store.commit({"state": I.merge_state(state, batch)}, ("events", number))
 
     I.run_stream(stream, f"{base}/checkpoint", apply)
-    return holder["state"]
+    return store.table("state") if "state" in store.versions() else empty
 
 
 QUERIES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators.references import ForeignKey, direct_orphans, orphan_report
+from tessera.operators.references import ForeignKey, orphan_report, orphans
 from tessera.sources.tables import table
 
 KEYS = [
@@ -23,7 +23,7 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return direct_orphans(_tables(spark, d), KEYS)
+    return orphans(_tables(spark, d), KEYS).filter("kind = 'direct'").select("ref_table", "ref_field", "row_id")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:

@@ -56,11 +56,18 @@ def merge_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     return state.select("path", "event_type", "ts").unionByName(new).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def run_stream(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None], once: bool = True):
-    """Feeds micro-batches to ``apply``. ``once``: what is there now, then stop; else until stopped. ``apply`` must be idempotent for a
+def tick_stream(spark: SparkSession) -> DataFrame:
+    """A row a second, which only says that time has passed."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+
+def run_stream(stream: DataFrame, checkpoint: str | None, apply: Callable[[DataFrame, int], None], once: bool = True, interval: str | None = None):
+    """Feeds micro-batches to ``apply``: what is there now, then stop; with an ``interval``, until stopped. ``apply`` must be idempotent for a
     batch number, then a file counts exactly once however often executors or the driver are lost."""
-    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    q = (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 second")).start()
-    if once:
+    w = stream.writeStream.foreachBatch(apply)
+    if checkpoint:
+        w = w.option("checkpointLocation", checkpoint)
+    q = (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+    if once and not interval:
         q.awaitTermination()
     return q

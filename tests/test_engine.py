@@ -7,7 +7,7 @@ import pytest
 
 from tessera.api import Engine, ToolServer
 from tessera.config import Config
-from tessera.functions.embedders import HashEmbedder, RemoteEmbedder, ZeroEmbedder, choose_backend, openai_embedder
+from tessera.functions.embedders import HashEmbedder, RemoteEmbedder, ZeroEmbedder, choose_backend, embedder_of, openai_embedder
 from tessera.functions.wordpiece import encode
 
 
@@ -95,6 +95,103 @@ def test_change_and_delete(engine):
     assert engine.reindex() == 2
 
 
+def test_only_the_difference_is_written(engine, spark):
+    before = {n: len(v["segments"]) for n, v in engine.store.versions().items()}
+    with open(os.path.join(engine.root, "docs", "__init__.py"), "w") as f:
+        f.write("def gannet():\n    return record(7)\n")
+    assert engine.scan(engine.root) == 1 and engine.query("gannet").count()
+    v = engine.store.versions()
+    assert all(len(v[n]["segments"]) <= before[n] + 1 for n in v)
+    assert len(engine.store.table("files").filter("is_indexed = 1").collect()) == 3
+    assert engine.store.table("chunks").groupBy("id").count().filter("count > 1").isEmpty() and engine.store.table("symbol_links").groupBy("id").count().filter("count > 1").isEmpty()
+    os.remove(os.path.join(engine.root, "docs", "__init__.py"))
+    engine.scan(engine.root)
+    assert not any("gannet" in r["content"] for r in engine.query("gannet").collect())
+
+
+def project(tmp_path):
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "a.py").write_text("def avocet():\n    return 1\n")
+    (root / "b.txt").write_text("notes about bitterns\n")
+    return root
+
+
+def test_live(spark, tmp_path):
+    import time
+
+    root = project(tmp_path)
+    e = Engine(spark, str(tmp_path / "i"), Config(embedding_backend="hash"), live=True)
+    e.watch_add(str(root))
+
+    def until(test):
+        end = time.time() + 90
+        while not test():
+            assert time.time() < end
+            time.sleep(0.5)
+
+    paths = lambda: {os.path.basename(x["path"]) for x in e.resource_list().collect()}
+    assert paths() == {"a.py", "b.txt"} and e.watch().isActive
+    (root / "a.py").write_text("def curlew(x):\n    return avocet(x)\n")  # an edit, a rename, a new file in a new folder
+    (root / "b.txt").rename(root / "c.txt")
+    (root / "d").mkdir()
+    (root / "d" / "_e.md").write_text("dunlins\n")
+    until(lambda: paths() == {"a.py", "c.txt", "_e.md"} and e.store.table("chunks").filter("symbol_name = 'curlew'").count() == 1)
+    e.shutdown()
+    assert not spark.streams.active
+    (root / "c.txt").unlink()  # while nothing runs
+    again = Engine(spark, str(tmp_path / "i"), live=True)
+    assert again.config.watch_paths == [str(root)]
+    again.embedder = e.embedder
+    again.watch()
+    until(lambda: {os.path.basename(x["path"]) for x in again.resource_list().collect()} == {"a.py", "_e.md"})
+    again.shutdown()
+
+
+def test_events(spark, tmp_path):
+    import datetime
+
+    root = project(tmp_path)
+    e = Engine(spark, str(tmp_path / "i"), Config(embedding_backend="hash"))
+    e.watch_add(str(root))
+    (root / "a.py").rename(root / "z.py")
+    (root / "b.txt").write_text("notes about bitterns and more\n")
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(str(root / n), k, at + datetime.timedelta(seconds=s), at) for n, k, s in (("a.py", "Modified", 0), ("a.py", "Renamed", 1), ("z.py", "Created", 1), ("b.txt", "Modified", 2), ("b.txt", "Modified", 2), ("gone.py", "Created", 3))]
+    rows.append(("/elsewhere/x.py", "Created", at, at))
+    from tessera.streaming.ingest import EVENTS, event_stream
+
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        e.follow(event_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "cp"))
+        assert {os.path.basename(x["path"]) for x in e.resource_list().collect()} == {"z.py", "b.txt"}
+    n = e.store.entry()["number"]
+    assert e.apply_events(spark.createDataFrame(rows, EVENTS), ("events", 0)) == 0 and e.store.entry()["number"] == n
+    assert [r["content"] for r in e.store.table("chunks").filter("symbol_name = ''").collect()] == ["notes about bitterns and more\n"]
+
+
+def test_another_dimension(spark, tmp_path):
+    root = project(tmp_path)
+    e = Engine(spark, str(tmp_path / "i"), Config(embedding_backend="hash"), HashEmbedder(16))
+    e.watch_add(str(root))
+    same = Engine(spark, str(tmp_path / "i"), embedder=HashEmbedder(16))
+    assert not same.check_dimension() and same.scan(str(root)) == 0
+    silent = Engine(spark, str(tmp_path / "i"), embedder=RemoteEmbedder("m", transport=lambda *a: {}))
+    assert not silent.check_dimension() and e.store.table("chunks").count() == 2
+    other = Engine(spark, str(tmp_path / "i"), embedder=HashEmbedder(24))
+    assert other.check_dimension() and other.store.table("chunks").count() == 0 and other.store.table("files").filter("is_indexed = 1").count() == 0
+    assert other.scan(str(root)) == 2 and {len(r["embedding"]) for r in other.store.table("chunks").collect()} == {24}
+
+
+def test_missing_vectors(spark, tmp_path):
+    root = project(tmp_path)
+    e = Engine(spark, str(tmp_path / "i"), embedder=RemoteEmbedder("m", transport=lambda *a: {}))
+    e.watch_add(str(root))
+    assert e.store.table("chunks").filter("embedding is null").count() == 2 and e.embed_missing() == 0
+    e.embedder = HashEmbedder(8)
+    assert e.embed_missing() == 2 and e.store.table("chunks").filter("size(embedding) = 8").count() == 2
+
+
 def test_config(tmp_path):
     p = str(tmp_path / "c.json")
     Config(memory_mode="DISK", watch_paths=["/a"]).save(p)
@@ -111,9 +208,42 @@ def test_back_ends():
     r = RemoteEmbedder("m", transport=lambda u, b, h: {"embedding": [1, 2]})
     assert r.dimension() == 2 and r.embed("x") == [1.0, 2.0]
     assert openai_embedder("k", transport=lambda u, b, h: {"data": [{"embedding": [float(h["Authorization"] == "Bearer k")]}]}).embed("x") == [1.0]
+    calls = []
+
     def fail(*a):
-        raise OSError
-    assert RemoteEmbedder("m", transport=fail).embed("x") == []
+        calls.append(a)
+        if len(calls) < 3:
+            raise OSError
+        return {"embedding": [5]}
+
+    assert RemoteEmbedder("m", transport=fail, wait=0.01).embed("x") == [5.0] and len(calls) == 3
+    assert RemoteEmbedder("m", transport=lambda *a: 1 / 0, wait=0.01).embed("x") == []
+    assert RemoteEmbedder("m", transport=lambda u, b, h: {"embedding": [len(b["prompt"])]}).embed_all(["a", "bb"]) == [[1.0], [2.0]]
+    kind = lambda *a, **k: type(embedder_of(*a, env={}, reachable=lambda: False, **k)).__name__
+    assert [kind(b, "m") for b in ("hash", "none", "ollama", "openai")] == ["HashEmbedder", "ZeroEmbedder", "RemoteEmbedder", "RemoteEmbedder"]
+    assert embedder_of("openai", "m", "key", env={}).key == "key"
+
+
+def test_local_model(tmp_path, spark):
+    """A model file as a local back end takes it: the mean over the tokens of a table's rows."""
+    onnx = pytest.importorskip("onnxruntime")
+    from tessera.functions.embedders import OnnxEmbedder, embedder_of as of
+
+    (tmp_path / "vocab.txt").write_text("\n".join(["[PAD]", *[f"u{k}" for k in range(99)], "[UNK]", "[CLS]", "[SEP]", "play"]) + "\n")
+    (tmp_path / "model.onnx").write_bytes(b"not a model")
+    e = of("onnx", "m", data_dir=str(tmp_path), env={})
+    assert isinstance(e, OnnxEmbedder) and e.vocab["play"] == 103 and e.embed("play") == []
+    class Session:
+        def run(self, names, feed):
+            import numpy as np
+
+            assert names == ["last_hidden_state"] and feed["input_ids"].tolist() == [[101, 103, 102]] and feed["attention_mask"].tolist() == [[1, 1, 1]]
+            return [np.array([[[3.0, 0.0], [3.0, 0.0], [0.0, 8.0]]])]
+
+    e._session = Session()
+    import math
+
+    assert onnx and all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip(e.embed("play"), [0.6, 0.8]))
 
 
 def test_wordpiece():

@@ -33,7 +33,90 @@ def test_migration_and_commit(spark, tmp_path):
     r = s.table("chunks").first()
     assert s.table("chunks").schema.names == CHUNKS.names and r["symbol_name"] is None and r["content"] == "text"
     s.commit({"chunks": s.table("chunks").unionByName(s.table("chunks"))})
-    assert s.table("chunks").count() == 2 and len([x for x in (tmp_path / "s").iterdir() if x.is_dir()]) == 1
+    folders = lambda: {x.name for x in (tmp_path / "s").iterdir() if x.is_dir() and x.name != "log"}
+    before = s.table("chunks")
+    assert before.count() == 2 and len(folders()) == 2  # the version that readers may have planned on stays
+    s.commit({"chunks": s.table("chunks").limit(1)})
+    assert s.table("chunks").count() == 1 and before.count() == 2 and len(folders()) == 2
+
+
+def test_changes_of_a_store(spark, tmp_path):
+    s = S.Store(spark, "file://" + str(tmp_path / "s"))
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, id long")
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    s.change({"files": rows(("/a", 1), ("/b", 2))})
+    s.change({"files": rows(("/b", 2), ("/c", 3))}, {"files": paths("/b", "/x")}, ("events", 4))
+    assert sorted((r["path"], r["id"]) for r in s.table("files").collect()) == [("/a", 1), ("/b", 2), ("/c", 3)]
+    s.change({"files": rows(("/d", 9))}, None, ("events", 4))  # a repeated batch
+    assert s.table("files").count() == 3 and s.applied("events") == 4 and s.applied("other") == -1
+    for k in range(S.Store.SEGMENTS + 3):  # an old row, and one that each change replaces; the table is written anew in between
+        s.change({"files": rows(("/a", k))}, {"files": paths("/a")})
+        assert sorted((r["path"], r["id"]) for r in s.table("files").collect()) == [("/a", k), ("/b", 2), ("/c", 3)]
+    assert len(s.versions()["files"]["segments"]) < S.Store.SEGMENTS
+    other = S.Store(spark, str(tmp_path / "s"))
+    now = other.entry()
+    s.change({"files": rows(("/e", 5))})
+    import pytest
+
+    with pytest.raises(Exception, match="exist"):
+        other._log(now, now["tables"], None)  # another commit was first
+
+
+def test_shared_folder_and_stages(spark, tmp_path):
+    import types
+
+    import pytest
+
+    from tessera import session
+
+    conf = types.SimpleNamespace(get=lambda k, d=None: d)
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master)))
+    assert session.shared_dir(types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: "hdfs://x/y/"), sparkContext=None)) == "hdfs://x/y"
+    with session.stages(spark):
+        df = session.materialize(spark.range(3))
+        path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+        assert df.count() == 3
+    import os
+
+    assert not os.path.exists(path)
+    one = spark.range(10).coalesce(1)
+    one.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert session.spread(one).rdd.getNumPartitions() > 1 == one.rdd.getNumPartitions()
+    spark.conf.set("spark.tessera.spread", "0")
+    try:
+        assert session.spread(one).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.tessera.spread")
+
+
+def test_all_names_are_listed(spark, tmp_path):
+    from tessera.sources.scan import IGNORE_FILE, ignore_globs, scan_tree
+
+    for name in ("a.py", "__init__.py", "_x/b.py", ".config/c.json", "build/d.py", "src/.hidden/_e.py", "empty.txt", "sub dir/%41 é.py"):
+        p = tmp_path / "r" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("" if name == "empty.txt" else name)
+    (tmp_path / "r" / "link").symlink_to(tmp_path / "r", target_is_directory=True)
+    got = {r["path"][len(str(tmp_path)) + 3 :]: bytes(r["content"]).decode() for r in scan_tree(spark, str(tmp_path / "r")).collect()}
+    assert got == {n: n for n in ("a.py", "__init__.py", "_x/b.py", ".config/c.json", "src/.hidden/_e.py", "sub dir/%41 é.py")} | {"empty.txt": ""}
+    (tmp_path / IGNORE_FILE).write_text("# names\n_x\n *.json\n")
+    got = {r["path"].rsplit("/", 1)[1] for r in scan_tree(spark, "file://" + str(tmp_path / "r"), ignore_globs(str(tmp_path)), with_content=False).collect()}
+    assert got == {"a.py", "__init__.py", "_e.py", "empty.txt", "%41 é.py"}
+    assert scan_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_deep_trees_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    from tessera.sources import scan
+
+    monkeypatch.setattr(scan, "FOLDERS", 3)
+    for k in range(12):
+        p = tmp_path / f"d{k % 4}" / f"e{k % 3}" / "f" / f"{k}.py"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x")
+    assert scan.list_tree(spark, str(tmp_path)).select("path").distinct().count() == 12
 
 
 def test_changes(spark):
