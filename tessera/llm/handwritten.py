@@ -57,8 +57,15 @@ GENERATED = re.compile(
 FOREIGN = re.compile(
     r"(?i)\bSPDX-License-Identifier\b|\bcopyright\s+(?:\(c\)|©|\d{4})|(?:\(c\)|©)\s+\w+[\w ]*\s(?:project|contributors|authors|developers)|all rights reserved|upstream release|\btaken from the\b|\bvendored (?:from|copy)|\bbundled from\b|\bcopied from\b|\bimported from upstream\b|@license\b|\bderived from\b[^\n]*\b(?:project|library|package)\b"
 )
+# words without one of which, in lower case, no notice stands in a text
+NOTICE_WORDS = (
+    "generated", "machine", "automat", "automát", "edit", "modify", "regenerate", "by hand", "template", "overwritten", "lost", "erzeugt", "generiert", "erstellt", "fichier", "ne pas", "nicht", "archivo", "fichero", "código", "codigo", "arquivo", "ficheiro",
+    "modifi", "cambiar", "alterar", "сгенерирован", "не ", "自动", "自動", "请勿", "編集", "spdx", "copyright", "(c)", "©", "all rights", "upstream", "taken from", "vendored", "bundled from", "copied from", "@license", "derived from",
+)
+_HINT = re.compile("|".join(map(re.escape, NOTICE_WORDS)))
 BANNER = re.compile(r"/\*! *(?:\n[ \t]*\*[ \t]*)?\S[^\n]*\bv?\d+\.\d+|\A\s*/\*! *\S[^\n]*\*/|@preserve\b")
 LOCK = re.compile(r'"lockfileVersion"\s*:|^# THIS IS AN AUTOGENERATED FILE|"_meta"\s*:\s*\{\s*"hash"|^\[\[package\]\]$', re.M)
+LOCK_WORDS = ('"lockfileVersion"', "AUTOGENERATED FILE", '"_meta"', "[[package]]")
 TOOL_NAME = re.compile(
     r"(?i)(?:[.](?:min|bundle|pb|pb\.gw|generated|designer|gen|g|freezed|auto)\.[a-z]+$|[._-](?:pb2?\.(?:js|d\.ts|ts|rb|php|py|pyi|go|cc|h|hpp)|pb2_grpc\.pyi?|grpc\.pb\.[a-z]+|generated\.[a-z]+|autogen\.[a-z]+|bindata\.go|min\.(?:js|css|mjs))$"
     r"|_(?:string|enumer|easyjson)\.go$|^(?:zz_generated|moc_|qrc_|ui_)[\w.]*\.(?:go|cpp|cc|h)$|\.tab\.[ch](?:pp|c)?$|^lex\.yy\.|(?:^|[._-])(?:lock|shrinkwrap)(?:[._-][a-z0-9]+)?\.(?:json|ya?ml)$|\.lock$|^go\.sum$)"
@@ -104,43 +111,53 @@ def split_notice(path: str, text: str) -> tuple[int, str]:
     if path.endswith((".md", ".txt", ".rst")):
         return (2 if foreign else 0), body
     tool = bool(TOOL_NAME.search(name) or TOOL_TYPE.search(name) or BANNER.search(lead)) and not (path.endswith(".rs") and lead.startswith("/*!"))
-    if LOCK.search(body):
+    if any(w in body for w in LOCK_WORDS) and LOCK.search(body):
         tool, body = True, LOCK.sub("", body)
     notes = lead.split("\n")
-    if GENERATED.search(body) or FOREIGN.search(body):  # a comment further down
-        notes += [x.group() for x in _NOTE.finditer(body)]
+    low, done = body.lower(), -1
+    for m in _HINT.finditer(low) if len(low) == len(body) else _HINT.finditer(body):  # a comment further down
+        if m.start() >= done:
+            done = body.find("\n", m.end())
+            done = len(body) if done < 0 else done
+            line = body[body.rfind("\n", 0, m.start()) + 1 : done]
+            if _NOTE.match(line):
+                notes.append(line)
     tool = tool or any(GENERATED.search(x) for x in notes)
     foreign = foreign or any(FOREIGN.search(x) for x in notes)
     return (1 if tool else 2 if foreign else 3 if DATA_NAME.search(name) else 0), body
 
 
-def features(path: str, body: str) -> list[float]:
+def features(path: str, body: str, uncommented: str | None = None) -> list[float]:
+    """``uncommented``: the body without comments, if it is known."""
     raw = body.encode("utf-8", "surrogatepass")
     n = max(len(body), 1)
-    tokens = _TOKEN.findall(body)
-    words = [t for t in tokens if t[0].isalpha() or t[0] in "_$"]
-    kinds = set(words)
+    kinds = Counter(_TOKEN.findall(body))
+    # counted on different tokens, of which there are few
+    tokens_n = max(sum(kinds.values()), 1)
+    words = {t: c for t, c in kinds.items() if t[0].isalpha() or t[0] in "_$"}
+    words_n = max(sum(words.values()), 1)
     lens = np.fromiter((len(w) for w in words), dtype=np.float64) if words else np.zeros(1)
+    often = np.fromiter(words.values(), dtype=np.float64) if words else np.ones(1)
+    id_mean = float((lens * often).sum() / often.sum())
     lines = body.split("\n")
     widths = np.fromiter((len(x) for x in lines), dtype=np.float64)
     strings = [len(s) for s in _STRING.findall(body)]
     chars = Counter(body)
     digits = sum(chars[c] for c in "0123456789")
     space = sum(chars[c] for c in " \t\n\r")
-    comments = sum(len(s) for s in _COMMENT.findall(body))
-    tokens_n = max(len(tokens), 1)
+    comments = len(body) - len(_COMMENT.sub("", body) if uncommented is None else uncommented)
     return [
-        len(zlib.compress(raw, 1)) / max(len(raw), 1), _entropy(Counter(tokens).values()), _entropy(chars.values()), float(lens.mean()), float(lens.std()), float((lens <= 2).mean()), len(kinds) / max(len(words), 1),
+        len(zlib.compress(raw, 1)) / max(len(raw), 1), _entropy(kinds.values()), _entropy(chars.values()), id_mean, float(np.sqrt((often * (lens - id_mean) ** 2).sum() / often.sum())), float(often[lens <= 2].sum() / often.sum()), len(words) / words_n,
         comments / n, float(widths.mean()), math.log1p(widths.max()), float(widths.std()), sum(not x.strip() for x in lines) / len(lines), space / n,
-        sum(strings) / n, math.log1p(max(strings, default=0)), digits / n, sum(t[0].isdigit() for t in tokens) / tokens_n, sum(not (t[0].isalnum() or t[0] in "_$") for t in tokens) / tokens_n,
-        math.log1p(len(lines)), math.log1p(n), 1 - len(set(lines)) / len(lines), 1 - len(set(tokens)) / tokens_n,
+        sum(strings) / n, math.log1p(max(strings, default=0)), digits / n, sum(c for t, c in kinds.items() if t[0].isdigit()) / tokens_n, sum(c for t, c in kinds.items() if not (t[0].isalnum() or t[0] in "_$")) / tokens_n,
+        math.log1p(len(lines)), math.log1p(n), 1 - len(set(lines)) / len(lines), 1 - len(kinds) / tokens_n,
         float(path.endswith(".json")), float(path.endswith((".md", ".txt", ".rst"))),
     ]
 
 
-def body_key(body: str) -> str | None:
+def body_key(body: str, uncommented: str | None = None) -> str | None:
     """A digest of the body without comments and white space, so that copies with other line ends, indents or headers are equal; None if nothing is left."""
-    key = re.sub(r"\s+", "", _COMMENT.sub("", body)) or re.sub(r"\s+", "", body)
+    key = "".join((_COMMENT.sub("", body) if uncommented is None else uncommented).split()) or "".join(body.split())
     return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if key else None
 
 
@@ -149,7 +166,8 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, path, root, text in b[["file_id", "path", "project_root", "text"]].itertuples(index=False, name=None):
             notice, body = split_notice(path, text)
-            out.append([i, path, root, notice, body_key(body), *features(path, body)])
+            plain = _COMMENT.sub("", body)
+            out.append([i, path, root, notice, body_key(body, plain), *features(path, body, plain)])
         yield pd.DataFrame(out, columns=["file_id", "path", "project_root", "notice", "body_key", *(f for f in FEATURES if f not in COMPARED)])
 
 
