@@ -254,7 +254,8 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
     routed = materialize(reps.mapInPandas(_router_job(shared, probes, dim), "id long, u binary, parts array<int>"), "routed")
     # index entries and queries per part: at most MOST_PARTS rows
     counted = routed.select(F.posexplode("parts").alias("nth", "part")).groupBy("part").agg(F.count_if(F.col("nth") == 0).alias("n"), F.count(F.lit(1)).alias("asks")).collect()
-    blocks = spark.createDataFrame([(int(r["part"]), max(1, math.ceil(r["n"] / BLOCK)), max(1, math.ceil(r["asks"] / QUERIES))) for r in counted if r["n"]] or [(0, 1, 1)], "part int, nb int, nq int")
+    cut = [(int(r["part"]), max(1, math.ceil(r["n"] / BLOCK)), max(1, math.ceil(r["asks"] / QUERIES))) for r in counted if r["n"]] or [(0, 1, 1)]
+    blocks = spark.createDataFrame(cut, "part int, nb int, nq int")
     # a part is cut into nb blocks of entries and nq blocks of queries, which meet pairwise; a vector in its own part is both
     h = F.xxhash64("id")
     sent = (
@@ -264,19 +265,45 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
         .withColumn("ask", F.col("bq") % F.col("nq") == F.pmod(F.shiftright(h, 20), F.col("nq")))
         .filter("base or ask").select("id", "u", "base", "ask", "part", "bq")
     )
+    # a task a block, whatever the number of blocks, so that none reads more the larger the collection is
+    sent = sent.repartition(max(sum(nb * nq for _, nb, nq in cut), spark.sparkContext.defaultParallelism), "part", "bq")
     hits = sent.groupBy("part", "bq").applyInPandas(_search_job(dim, k, least), "id long, other long, cosine float")
     near = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k).select("id", "other", "cosine")
-    # back from classes to records
-    large = few.filter(F.col("nth") == k + 1).select("u", "rep")
-    members = few.join(few.filter("nth = 2").select("rep"), "rep", "left_semi").select("id", "rep").unionByName(units.join(large, "u").select("id", "rep")).distinct()
-    few = few.select("rep", F.col("id").alias("other"), "nth")
-    same = members.join(few.drop("nth"), "rep").filter("id <> other").select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
-    few = few.filter(F.col("nth") <= k)
-    across = near.select(F.col("id").alias("rep"), F.col("other").alias("rep2"), "cosine").join(few.select(F.col("rep").alias("rep2"), "other"), "rep2").join(few.select("rep", F.col("other").alias("id")), "rep").select("id", "other", "cosine")
-    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return same.unionByName(across).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+    # back from classes to records: the candidates of a class are its smallest members and those of the classes near to it, of which the
+    # k + 1 best serve every member. They meet the records of large classes in SALTS parts; the members of others are all in ``few``.
+    inner = few.filter(F.col("nth") <= k).select(F.col("rep").alias("rep2"), F.col("id").alias("other"))
+    outside = near.select(F.col("id").alias("rep"), F.col("other").alias("rep2"), "cosine").join(inner, "rep2").select("rep", "other", "cosine", F.lit(None).cast("binary").alias("u"), F.lit(False).alias("own"))
+    own = few.select("rep", F.col("id").alias("other"), F.lit(1.0).cast("float").alias("cosine"), F.when(F.col("nth") == 1, F.col("u")).alias("u"), F.lit(True).alias("own"))
+    lists = own.unionByName(outside).groupBy("rep").agg(
+        F.max("u").alias("u"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("other")))), 1, k + 1).alias("best"), F.collect_list(F.when(F.col("own"), F.col("other"))).alias("members")
+    )
+    large = lists.filter(F.size("members") > k).select("u", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of_large = units.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(large, ["u", "salt"]).select("id", "best")
+    of_small = lists.filter(F.size("members") <= k).select(F.explode("members").alias("id"), "best")
+    each = of_large.unionByName(of_small).dropDuplicates(["id"]).select("id", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k)).alias("r", "x"))
+    return each.select("id", F.col("x.other").alias("other"), (-F.col("x.c")).alias("cosine"), (F.col("r") + 1).cast("int").alias("rank"))
 
 
 def similar_pairs(neighbours: DataFrame, least: float) -> DataFrame:
     """Distinct pairs (chunk_id_a, chunk_id_b), a < b, of at least the cosine ``least``."""
     return neighbours.filter(F.col("cosine") >= F.lit(least) - 1e-6).select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
+def recall_against_brute_force(df: DataFrame, neighbours: DataFrame, id_col: str = "id", vec: str = "embedding", dim: int = 64, k: int = 5, every: int = 50) -> DataFrame:
+    """One row (n_queries, recall): of the ``k`` nearest of the vectors whose ids are divisible by ``every``, found by comparing them with all
+    vectors in blocks, the share that ``neighbours`` has (or has others of at least the same cosine)."""
+    spark = df.sparkSession
+    units = materialize(spread(usable_vectors(df, id_col, vec, dim), "id").mapInPandas(_unit, "id long, u binary").dropDuplicates(["id"]), "vectors")
+    asked = units.filter(F.col("id") % every == 0)
+    n, q = units.count(), asked.count()
+    nb, nq = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(q / BLOCK))
+    part = lambda m, other: [F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))]
+    b, a = part(nb, nq), part(nq, nb)
+    base = units.select("id", "u", F.lit(True).alias("base"), F.lit(False).alias("ask"), b[0].alias("part"), b[1].alias("bq"))
+    ask = asked.select("id", "u", F.lit(False).alias("base"), F.lit(True).alias("ask"), a[1].alias("part"), a[0].alias("bq"))
+    hits = base.unionByName(ask).repartition(max(nb * nq, spark.sparkContext.defaultParallelism), "part", "bq").groupBy("part", "bq").applyInPandas(_search_job(dim, k, None), "id long, other long, cosine float")
+    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k)
+    least = best.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
+    got = neighbours.select("id", "cosine").join(least.select("id", "least"), "id").filter(F.col("cosine") >= F.col("least") - 1e-5).groupBy("id").agg(F.count(F.lit(1)).alias("got"))
+    s = least.join(got, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least(F.coalesce("got", F.lit(0)), F.col("n"))).alias("got"))
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(s).select("n_queries", F.coalesce(F.col("got") / F.col("n"), F.lit(1.0)).alias("recall"))  # one row each

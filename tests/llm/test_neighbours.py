@@ -84,3 +84,21 @@ def test_registered_queries_on_data(spark, data):
 def test_router_of_few(n):
     x = np.eye(5, 4, dtype=np.float32)[:n]
     assert N.fit_router(x, 3).parts == 1
+
+
+def test_recall_is_measured(spark):
+    import numpy as np
+
+    from tessera.llm.neighbours import nearest_neighbours, recall_against_brute_force
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 64))
+    x[100:300] = x[100]  # a hot class of equal vectors
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(700, None), (750, [0.0] * 64)], "id long, embedding array<double>")
+    found = nearest_neighbours(df)
+    r = recall_against_brute_force(df, found).first()
+    assert r["n_queries"] == 12 and r["recall"] == 1.0
+    assert recall_against_brute_force(df, found.filter("rank > 1")).first()["recall"] < 0.9
+    assert found.groupBy("id").count().filter("count <> 5").count() == 0 and found.filter("id = other").count() == 0
+    assert found.filter("id between 100 and 299 and cosine < 0.999").count() == 0
+    assert recall_against_brute_force(df.limit(0), found).first()["n_queries"] == 0
