@@ -5,13 +5,14 @@ Words are the longest runs of ``[A-Za-z0-9_]``; a record is the set of its runs
 signature: one hash per shingle, the smallest in each of ``bands * rows`` bins, empty bins filled by optimal
 densification (a second hash of bin and attempt picks the bin to copy from, so that two records choose alike). Records
 that agree in all ``rows`` bins of a band share a bucket. In a bucket of at most ``SMALL`` records all pairs are candidates. A
-larger one of m records first yields at most 2(m-1) edges: each record with the bucket's centre (a pseudo-random member,
-another in each band) and with its predecessor. Candidates are verified on the whole shingle sets; verified edges give
-components. The records of large buckets that are not in one component then meet in an exact join on their rare shingles
-(prefix filter), so that similar records are found among any number of others that fill their buckets. In the components
-of all verified edges every pair is checked exactly.
-
-No record is dropped: large buckets are handled by a window and a join, which spill, and never gathered in memory.
+larger one of m records yields at most 2(m-1) edges: each record with the bucket's centre (a pseudo-random member, another in each
+band) and with its predecessor in its salted part; and because a star misses similar leaves whose centre is not similar, the records of
+large buckets also meet in an exact join on their rare shingles (prefix filter), so that similar records are found among any
+number of others that fill their buckets. Candidates are verified on the whole shingle sets. What shares a verified neighbour
+is compared as well, which finds pairs that no band brought together; a component is never compared all against all, so a long chain of
+edits costs its length.
+
+No record is dropped: buckets are counted and joined, never gathered or sorted in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WORD = "[A-Za-z0-9_]+"
 SMALL = 32
 #: Counters of shingles, a fixed number; any counts give a right order of shingles, better ones a cheaper join.
 CELLS = 1 << 18
+#: Records of a large bucket that one task puts in order.
+PART = 4096
 SIGNATURE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
@@ -102,10 +105,13 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(rep, n, k, o, m): the records of each bucket k of m > 1 records, o being their order in it."""
+    """(rep, n, k, m): the records of each bucket k of m > 1 records. Buckets are counted first, in parts; the join that follows can be
+    split where one is hot, which a window could not."""
     signed = reps.select("rep", "n", "sh").mapInArrow(_signer(bands, rows), SIGNATURE)
-    rowsdf = signed.select("rep", "n", F.explode("bands").alias("k")).withColumn("o", F.xxhash64("rep", "k"))
-    return rowsdf.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("k"))).filter("m > 1")
+    signed = materialize(signed, "signed")
+    rowsdf = signed.select("rep", "n", F.explode("bands").alias("k"))
+    several = rowsdf.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return rowsdf.join(several, "k")
 
 
 def candidates(shared: DataFrame, threshold: float) -> DataFrame:
@@ -114,27 +120,35 @@ def candidates(shared: DataFrame, threshold: float) -> DataFrame:
     me = F.struct("rep", "n")
     small = shared.filter(F.col("m") <= SMALL).groupBy("k").agg(F.collect_list(me).alias("r"))
     small = small.select(F.explode(F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", F.lit(1), i), lambda y: edge(x, y))))).alias("e"))
-    w = Window.partitionBy("k").orderBy("o", "rep")
-    linked = shared.filter(F.col("m") > SMALL).select(me.alias("x"), F.first(me).over(w).alias("c"), F.lag(me).over(w).alias("p")).filter("p is not null")
-    large = linked.select(F.explode(F.array(edge(F.col("x"), F.col("c")), edge(F.col("x"), F.col("p")))).alias("e"))
-    e = small.unionByName(large).select("e.*")
+    hot = shared.filter(F.col("m") > SMALL).withColumn("o", F.xxhash64("rep", "k"))
+    centres = hot.groupBy("k").agg(F.min_by(me, F.struct("o", "rep")).alias("c"))
+    stars = hot.join(centres, "k").select(edge(F.col("c"), me).alias("e"))
+    w = Window.partitionBy("k", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / PART))).orderBy("o", "rep")
+    chains = hot.select(me.alias("x"), F.lag(me).over(w).alias("p")).filter("p is not null").select(edge(F.col("x"), F.col("p")).alias("e"))
+    e = small.unionByName(stars).unionByName(chains).select("e.*")
     return e.filter((F.col("a") != F.col("b")) & (F.col("lo") >= F.col("hi") * F.lit(threshold))).select("a", "b").distinct()
 
 
-def unresolved(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(rep, component) of the records of large buckets whose members are not all in one component."""
-    hot = shared.filter(F.col("m") > SMALL).select("k", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = hot.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k")
-    return hot.join(mixed, "k", "left_semi").select("rep", "component").distinct()
+def crowded(shared: DataFrame) -> DataFrame:
+    """(rep) of the records of large buckets."""
+    return shared.filter(F.col("m") > SMALL).select("rep").distinct()
+
+
+def neighbours_of_neighbours(links: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a neighbour in ``links`` and are no link themselves."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    x, y = both.select("a", F.col("b").alias("x")), both.select("a", F.col("b").alias("y"))
+    pairs = x.join(y, "a").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _prefixes(counts: np.ndarray, threshold: float):
-    """Rows (rep, component, n, tok, i, short) of the rarest shingles of each set: as many as a set must show to meet a
+    """Rows (rep, n, tok, i, short) of the rarest shingles of each set: as many as a set must show to meet a
     smaller similar one; ``short`` marks those that are enough to meet an equal or larger one."""
 
     def run(batches):
         for b in batches:
-            sets = b.column(3)
+            sets = b.column(2)
             lengths = np.diff(sets.offsets.to_numpy()).astype(np.int64)
             flat = sets.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
@@ -145,26 +159,25 @@ def _prefixes(counts: np.ndarray, threshold: float):
             keep = i < probe[row]
             row, i, tok = row[keep], i[keep], flat[order][keep]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(tok, pa.int32()), pa.array(i.astype(np.int32)), pa.array(i < index[row])], names=["rep", "component", "n", "tok", "i", "short"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(tok, pa.int32()), pa.array(i.astype(np.int32)), pa.array(i < index[row])], names=["rep", "n", "tok", "i", "short"])
 
     return run
 
 
 def rare_meetings(records: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``records`` (rep, component) of different components, among them every pair of at least
-    the similarity ``threshold``. Shingles are put in one order for all sets, rare ones first. Of two similar sets the smaller
+    """Distinct pairs (a, b), a < b, of ``records`` (rep), among them every pair of at least the similarity ``threshold``. Shingles are put in one order for all sets, rare ones first. Of two similar sets the smaller
     one, of n shingles, shares at least 2t/(1+t) n with the other, so one of its first n - 2t/(1+t) n + 1 is among the first
     n' - t n' + 1 of the other; the first such place also bounds what can follow it."""
-    sets = materialize(reps.join(records, "rep").select("rep", "component", "n", "sh"), "sets")
+    sets = materialize(reps.join(records, "rep").select("rep", "n", "sh"), "sets")
     counts = np.zeros(CELLS, dtype=np.int64)
     cells = sets.select(F.explode("sh").alias("s")).groupBy(F.col("s").bitwiseAND(CELLS - 1).alias("c")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     counts[cells["c"].to_numpy()] = cells["n"].to_numpy()
-    rows = materialize(sets.mapInArrow(_prefixes(counts, threshold), "rep long, component long, n int, tok int, i int, short boolean"), "prefixes")
+    rows = materialize(sets.mapInArrow(_prefixes(counts, threshold), "rep long, n int, tok int, i int, short boolean"), "prefixes")
     x, y = rows.alias("x"), rows.filter("short").alias("y")
     least = F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = x.join(
         y.hint("merge"),
-        (F.col("x.tok") == F.col("y.tok")) & (F.col("x.component") != F.col("y.component")) & (F.struct("y.n", "y.rep") < F.struct("x.n", "x.rep"))
+        (F.col("x.tok") == F.col("y.tok")) & (F.struct("y.n", "y.rep") < F.struct("x.n", "x.rep"))
         & (F.col("y.n") >= F.col("x.n") * F.lit(threshold) - 1e-6) & (F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= least),
     )
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
@@ -216,14 +229,13 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, words: int = 5, thres
     few words have no row; repeated rows count once; extra columns are ignored; an empty table gives empty results."""
     members, reps = classes(shingle_sets(df, id_col, text, words, least))
     shared = materialize(buckets(reps, bands, rows), "buckets")
-    found = materialize(verified(candidates(shared, threshold), reps, threshold), "found")
-    comp = materialize(components(found), "components")
-    rest = materialize(unresolved(shared, comp), "unresolved")
-    if not rest.isEmpty():
-        more = materialize(verified(rare_meetings(rest, reps, threshold), reps, threshold), "more")
-        comp = materialize(components(found.unionByName(more)), "components")
-    inside = comp.alias("x").join(comp.alias("y"), (F.col("x.component") == F.col("y.component")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = materialize(verified(inside, reps, threshold), "links")
+    met = candidates(shared, threshold)
+    hot = materialize(crowded(shared), "crowded")
+    if not hot.isEmpty():
+        met = met.unionByName(rare_meetings(hot, reps, threshold)).distinct()
+    found = materialize(verified(met, reps, threshold), "found")
+    links = found.unionByName(materialize(verified(neighbours_of_neighbours(found), reps, threshold), "further"))
+    comp = materialize(components(links), "components")
     n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     groups = (
         members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(n, "rep", "left")

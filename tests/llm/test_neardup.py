@@ -60,3 +60,18 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 50: 50, 52: 50, 55: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_chain_and_hot_family(spark):
+    # each text shares 0.82 with the next, less with those after it: links are those of neighbours only
+    rows = [(k, " ".join(f"w{k * 12 + j}" for j in range(124))) for k in range(60)]
+    groups, links = near_duplicates(spark.createDataFrame(rows, "id long, content string"), "id", "content")
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == [(k, k + 1) for k in range(59)]
+    assert {r["group_id"] for r in groups.collect()} == {0}
+    # a family of more than a small bucket whose members are all alike but differ in pairs
+    base = [f"v{k}" for k in range(200)]
+    rows = [(k, " ".join(base[:3 * k] + [f"own{k}"] + base[3 * k + 1:])) for k in range(50)]
+    s = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
+    groups, links = near_duplicates(spark.createDataFrame(rows, "id long, content string"), "id", "content")
+    assert {(r["a"], r["b"]) for r in links.collect()} == want and len(want) == 50 * 49 // 2
