@@ -2,7 +2,8 @@
 
 The form is compatibility normalisation (composed), full case folding, mapped white space and hyphens, look-alike
 letters of other scripts mapped to Latin, and default-ignorable characters removed. Look-alikes are mapped word by
-word, and only where the word holds a Latin letter or nothing but look-alikes, so that Russian or Greek words stay.
+word, and only where the word holds a Latin letter or nothing but look-alikes, so that Russian or Greek words stay; a word with letters
+that only the other script has takes its Latin look-alikes into that script.
 
 Plain ASCII needs none of it but case folding and is treated inside the JVM; other texts go to Python in Arrow batches,
 each distinct value of a batch once.
@@ -35,7 +36,15 @@ LOOKALIKES = {
     # Armenian
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Լ": "L",
     # Latin beyond the basic block
-    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y",
+    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ǃ": "!",
+    # Cyrillic of small capital look
+    "ԍ": "g",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z",
+    "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 # Hyphens of the same look as the hyphen-minus.
 HYPHENS = "‐‑˗⁃﹣－"
@@ -43,20 +52,26 @@ HYPHENS = "‐‑˗⁃﹣－"
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 _SPACE = regex.compile(r"[\p{Zs}\t]")
 _LINE = regex.compile("\r\n|[\r\x0b\x0c\x85  ]")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = regex.compile(r"[\p{L}\p{M}]+|ǃ")
 _OTHER = regex.compile(r"[^\x00-\x7f]")
 _TO_LATIN = str.maketrans(LOOKALIKES)
 _TO_HYPHEN = str.maketrans(dict.fromkeys(HYPHENS, "-"))
 _ALIKE = frozenset(LOOKALIKES)
 _HYPHEN = frozenset(HYPHENS)
+#: Latin letters and their look-alikes of one script, the first of several.
+_FROM_LATIN = {s: {v: k for k, v in reversed(LOOKALIKES.items()) if unicodedata.name(k).startswith(s)} for s in ("CYRILLIC", "GREEK", "ARMENIAN")}
 ASCII = r"^[\x00-\x7F]*$"
 
 
 def _word(m) -> str:
     w = m.group()
-    if w.isascii() or _ALIKE.isdisjoint(w):
+    if w.isascii():
         return w
     base = [c for c in w if not unicodedata.combining(c)]
+    own = {unicodedata.name(c, "").split(" ")[0] for c in base if not c.isascii() and c not in _ALIKE}
+    latin = {c for c in base if c.isascii()}
+    if len(own) == 1 and (script := own.pop()) in _FROM_LATIN and latin and latin <= _FROM_LATIN[script].keys():
+        return w.translate(str.maketrans(_FROM_LATIN[script]))
     if any("LATIN" in unicodedata.name(c, "") for c in base) or all(c in _ALIKE for c in base):
         return w.translate(_TO_LATIN)
     return w
@@ -67,8 +82,7 @@ def look(text: str) -> str:
     t = _LINE.sub("\n", text)
     if not t.isascii():
         t = _IGNORABLE.sub("", unicodedata.normalize("NFKD", t))
-        if not _ALIKE.isdisjoint(t):
-            t = _WORD.sub(_word, t)
+        t = _WORD.sub(_word, t)
         t = unicodedata.normalize("NFKC", t.translate(_TO_HYPHEN) if not _HYPHEN.isdisjoint(t) else t)
     return _SPACE.sub(" ", t)
 
@@ -148,3 +162,13 @@ def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         b,
         (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.look_key") == F.col("b.look_key")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.doc_id") < F.col("b.doc_id")),
     ).select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))
+
+
+def lookalike_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_texts): one row a document whose text looks like another text; ``class_id`` is the smallest document of its
+    class and ``n_texts`` the number of different texts in it. The linear form of ``lookalike_pairs``; counted on (look, text) first, so that
+    copies of one text are one row when they meet."""
+    m = materialize(lookalike_classes(df, doc_id, text), "looks")
+    texts = m.groupBy("look_key", "text_key").agg(F.min("doc_id").alias("d"))
+    several = texts.groupBy("look_key").agg(F.min("d").alias("class_id"), F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1")
+    return m.select("doc_id", "look_key").join(several, "look_key").select("doc_id", "class_id", "n_texts").distinct()

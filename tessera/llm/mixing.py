@@ -3,7 +3,9 @@
 The total is the largest at which no source needs more than its cap of copies (or a given total). A source that must give
 c times its own size gives floor(c) whole copies of every document and a sample of the fraction left: Pareto order
 sampling, in which documents rank by u/(1-u) over p/(1-p), u being a pseudo-random number of the document and p its inclusion
-probability (proportional to its size to a power), and the first ones are taken up to the size wanted.
+probability (proportional to its size to a power), and the first ones are taken up to the size wanted. A document whose probability
+would be 1 or more is taken for certain and the others' probabilities are computed anew, until there is none. The sample's size is fixed in
+tokens, not in documents, because shares are shares of tokens.
 
 The cut in the ranking is found without gathering a source: ranks fall into buckets whose sizes are summed, only the bucket
 that holds the cut is sorted.
@@ -38,20 +40,31 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source:
         return d.withColumn("copies", F.lit(1)).limit(0)
     most = min(have[s]["tokens"] * goal[s]["max_repeats"] / (goal[s]["target_share"] / share) for s in have)
     most = min(most, total) if total else most
-    rows = []
+    rests = {}
     for s, h in have.items():
         wanted = most * goal[s]["target_share"] / share
         whole = min(int(wanted / h["tokens"] + 1e-9), goal[s]["max_repeats"])
         rest = max(0.0, wanted - whole * h["tokens"]) if whole < goal[s]["max_repeats"] else 0.0
-        # p = k * size^power gives an expected size of rest
-        rows.append((s, whole, float(rest), float(rest / h["weighted"]) if h["weighted"] else 0.0))
-    plan = spark.createDataFrame(rows, "source string, whole int, rest double, k double")
+        rests[s] = (whole, float(rest))
+    # p = k * size^power gives an expected size of rest; sizes from ``certain`` on are taken in any case
+    plan = [(s, whole, rest, rest / have[s]["weighted"], float("inf")) for s, (whole, rest) in rests.items()]
+    sizes = materialize(d.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    while True:
+        limits = {s: k ** (-1 / power) if k > 0 and power > 0 else certain for s, _, _, k, certain in plan}
+        if all(limits[s] >= certain * (1 - 1e-12) for s, _, _, _, certain in plan):
+            break
+        at = F.broadcast(spark.createDataFrame([(s, float(min(limits[s], c))) for s, _, _, _, c in plan], "source string, certain double"))  # a row a source
+        left = F.col("n_tokens") < F.col("certain")
+        sums = sizes.join(at, "source").groupBy("source").agg(F.sum(F.when(left, w * F.col("n_tokens") * F.col("n")).otherwise(0.0)).alias("weighted"), F.sum(F.when(left, 0).otherwise(F.col("n_tokens") * F.col("n"))).alias("sure"))
+        sums = {r["source"]: r for r in sums.collect()}
+        plan = [(s, whole, rest, max(0.0, rest - sums[s]["sure"]) / sums[s]["weighted"] if sums[s]["weighted"] else 0.0, float(min(limits[s], c))) for s, whole, rest, _, c in plan]
+    plan = spark.createDataFrame(plan, "source string, whole int, rest double, k double, certain double")
     x = d.join(F.broadcast(plan), "source")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     p = F.greatest(F.lit(1e-12), F.least(F.col("k") * w, F.lit(1 - 1e-9)))
-    x = materialize(x.withColumn("odds", (u / (1 - u)) / (p / (1 - p))), "ranked")
+    x = materialize(x.withColumn("odds", F.when(F.col("n_tokens") >= F.col("certain"), F.lit(0.0)).otherwise((u / (1 - u)) / (p / (1 - p)))), "ranked")
     # log of the odds in buckets: about even ones where the cut can be
-    bucket = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((F.log("odds") + 8) * (BUCKETS / 16)))).cast("int")
+    bucket = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.coalesce(F.floor((F.log("odds") + 8) * (BUCKETS / 16)), F.lit(0)))).cast("int")  # certain ones have no logarithm
     x = x.filter("rest > 0").withColumn("bucket", bucket).unionByName(x.filter("rest = 0").withColumn("bucket", F.lit(-1)))
     by = x.filter("rest > 0").groupBy("source", "rest", "bucket").agg(F.sum("n_tokens").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

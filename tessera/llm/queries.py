@@ -55,6 +55,13 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks").select("id", "content", "start_line"), limit=limit, overlap=overlap)
 
 
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, within, complete, lines): for each oversized chunk, whether all pieces are within the limit, put together without their overlap
+    they are the text, and their lines are those that the text has there."""
+    limit, overlap = _limit(spark, d, "chunk_piece")
+    return splitting.audited(table(spark, d, "chunks").select("id", "content", "start_line"), limit, overlap).withColumnRenamed("id", "chunk_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "embedding")
     return neighbours.similar_pairs(neighbours.nearest_neighbours(chunks, least=0.9), 0.9)
@@ -64,6 +71,12 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, d, "chunks").select("id", "embedding"))
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row (n_queries, enough): for the vectors of ids divisible by 50, whether at least 0.9 of their 5 nearest by brute force are found."""
+    chunks = table(spark, d, "chunks").select("id", "embedding")
+    return neighbours.recall_against_brute_force(chunks, neighbours.nearest_neighbours(chunks)).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.classified_files(table(spark, d, "files").select("id", "path", "project_root"), table(spark, d, "chunks").select("id", "file_id", "start_line", "content"))
 
@@ -124,13 +137,25 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.lookalike_pairs(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.lookalike_groups(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalise(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_residue, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classified, p7_found, p7_groups, p8_containers, p8_small_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_residue, p2_found, p2_rates, p3_found, p3_pieces, p3_audit, p4_found, p4_neighbours, p4_recall, p5_found, p5_classified, p7_found, p7_groups, p8_containers, p8_small_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_classes, p10_canonical)}
 
 ORACLE_SQL = {
     "p1_residue": "SELECT count(DISTINCT id) AS n_chunks, 0 AS n_findings FROM chunks WHERE content <> '' AND id IS NOT NULL",
+    "p3_audit": "SELECT DISTINCT id AS chunk_id, true AS within, true AS complete, true AS lines FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
+    "p4_recall": "SELECT count(DISTINCT id) AS n_queries, true AS enough FROM chunks WHERE id % 50 = 0 AND len(embedding) = 64 AND isfinite(list_sum(embedding)) AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0",
+    "p7_found": r"""
+WITH w AS (SELECT id, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM (SELECT DISTINCT id, content FROM chunks)),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id HAVING count(*) >= 40),
+k AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6::DOUBLE * (x.n + y.n - k) - 1e-9""",
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(content) > (SELECT capacity FROM size_limits WHERE limit_name = 'chunk_piece')",
 }

@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Each pattern matches a separator; the cut is after it (before it for the first: a heading opens its section).
@@ -131,3 +131,24 @@ def pieces_of_all(df: DataFrame, id_col: str = "id", text: str = "content", star
         F.octet_length(c).alias("n_bytes"), F.lit(0).alias("overlap_bytes"),
     ).dropDuplicates(["id"])
     return short.unionByName(split_oversized(df, id_col, text, start_line, limit, overlap))
+
+
+def audited(df: DataFrame, limit: int = 4000, overlap: int = 600) -> DataFrame:
+    """(id, within, complete, lines) of the oversized items of ``df`` (id, content, start_line): whether all pieces are within the limit, are
+    together the text when each one's overlap is dropped, and stand on the lines that line ends counted in the text give. Computed from the
+    pieces alone; a window holds the pieces of one item."""
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    p = split_oversized(df, limit=limit, overlap=overlap).withColumnRenamed("content", "piece").withColumnRenamed("start_line", "first")
+    raw, n = F.encode("piece", "UTF-8"), F.col("overlap_bytes")
+    p = p.withColumn("rest", F.decode(F.substring(raw, n + 1, F.octet_length("piece")), "UTF-8")).withColumn("head", F.decode(F.substring(raw, F.lit(1), n), "UTF-8"))
+    before = F.coalesce(F.sum(lines(F.col("rest"))).over(Window.partitionBy("id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = p.withColumn("line", before - lines(F.col("head")))
+    last = F.col("first") + lines(F.col("piece")) - F.when(F.endswith("piece", F.lit("\n")), 1).otherwise(0)
+    g = p.groupBy("id").agg(
+        F.max("n_bytes").alias("most"), F.bool_and(F.octet_length("piece") == F.col("n_bytes")).alias("told"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "rest"))), lambda x: x["rest"]), "").alias("whole"),
+        F.min(F.col("first") - F.col("line")).alias("lo"), F.max(F.col("first") - F.col("line")).alias("hi"), F.bool_and(last == F.col("end_line")).alias("ends"),
+    )
+    items = df.filter(F.col("id").isNotNull()).select("id", F.col("content"), F.coalesce(F.col("start_line").cast("int"), F.lit(1)).alias("start_line")).filter(F.octet_length("content") > limit).dropDuplicates(["id"])
+    j = items.join(g, "id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return j.select("id", yes((F.col("most") <= limit) & F.col("told")).alias("within"), yes(F.col("whole") == F.col("content")).alias("complete"), yes((F.col("lo") == F.col("start_line")) & (F.col("hi") == F.col("start_line")) & F.col("ends")).alias("lines"))

@@ -41,3 +41,14 @@ def test_cases(spark):
     assert lookalike_pairs(df.limit(0)).count() == 0
     c = canonicalise(df.withColumn("canonical", F.lit("old")), "text")
     assert c.count() == len(rows) and {r["canonical"] for r in c.filter("doc_id in (1, 2, 9)").collect()} == {"a b"} and c.filter("doc_id = 4").first()["canonical"] is None
+
+
+def test_other_scripts_and_classes(spark):
+    from tessera.llm.canonical import canonical, lookalike_groups
+
+    assert canonical("pocт") == canonical("рост") != canonical("post") and canonical("ꓐꓰꓮ") == canonical("BEA") == canonical("ВЕА") == canonical("ᏼᎬᎪ".upper().replace("Ꮌ", "Ꭼ"))
+    assert canonical("wаit") == "wait" and canonical("слово") == "слово" and canonical("λόγος") == "λόγοσ" and canonical("stopǃ") == "stop!"
+    rows = [(1, "wait"), (2, "wаit"), (3, "wait"), (4, "other"), (5, "other"), (6, None), (7, ""), (2, "wаit"), (8, "Wait")]
+    got = {tuple(r) for r in lookalike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2)}
+    assert lookalike_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -87,3 +87,13 @@ def test_mixture_edges(spark):
     assert [tuple(r) for r in mixture(d, t, total=10).collect()] == [(1, "a", 10, 1)]
     assert mixture(d.limit(0), t).count() == 0
     assert mixture_report(mixture(d.limit(0), t), t).count() == 3
+
+
+def test_certain_documents(spark):
+    # one document holds half of its source: with the others' odds computed anew the sample's expected size is what is wanted
+    rows = [(0, "a", 5000)] + [(k, "a", 10) for k in range(1, 501)] + [(1000 + k, "b", 10) for k in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 1)], "source string, target_share double, max_repeats int")
+    m = {r["doc_id"]: r for r in mixture(d, t, total=10_000, power=1.0).collect()}
+    assert 0 in m and abs(sum(r["n_tokens"] for r in m.values() if r["source"] == "a") - 6000) <= 10
+    assert abs(sum(r["n_tokens"] for r in m.values() if r["source"] == "b") - 4000) <= 10

@@ -56,3 +56,11 @@ def test_table(spark):
     assert split_oversized(df.limit(0)).count() == 0
     everything = {(r["id"], r["piece_no"]): (r["start_line"], r["end_line"]) for r in pieces_of_all(df).collect()}
     assert everything[2, 0] == (3, 3) and everything[4, 0] == (1, 1) and everything[6, 0] == (1, 1)
+
+
+def test_audit(spark):
+    from tessera.llm.splitting import audited
+
+    rows = [(1, "a line\n" * 2000, 5), (2, "é" * 5000, None), (3, "short", 1), (4, None, 1), (5, "x y\r\n" * 1500, 7), (5, "x y\r\n" * 1500, 7)]
+    got = {tuple(r) for r in audited(spark.createDataFrame(rows, "id long, content string, start_line int")).collect()}
+    assert got == {(k, True, True, True) for k in (1, 2, 5)}
