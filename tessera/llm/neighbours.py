@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import materialize, spread
 
@@ -192,13 +193,25 @@ def _router_job(router, probes: int, dim: int):
     return run
 
 
+#: A query's hits in one part: other ids (8 bytes each), then cosines (4 bytes each).
+HITS = "id long, hits binary"
+
+
 def _search_job(dim: int, k: int, least: float | None):
+    """One row a query that finds something: its best others, in order. Queries without an entry come in half precision (``_half``)."""
+    def queries(u: pd.Series) -> np.ndarray:
+        out = np.empty((len(u), dim), dtype=np.float32)
+        short = (u.str.len() == 2 * dim).to_numpy()
+        out[~short] = _matrix(u[~short], dim)
+        out[short] = np.frombuffer(b"".join(u[short]), dtype=np.float16).reshape(-1, dim)
+        return out
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base, ask = pdf[pdf["base"]], pdf[pdf["ask"]]
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float32")})
+        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "hits": pd.Series(dtype=object)})
         if not len(base) or not len(ask):
             return empty
-        x, q = _matrix(base["u"], dim), _matrix(ask["u"], dim)
+        x, q = _matrix(base["u"], dim), queries(ask["u"])
         xi, qi = base["id"].to_numpy(), ask["id"].to_numpy()
         order = np.argsort(xi, kind="stable")
         x, xi = x[order], xi[order]
@@ -222,17 +235,49 @@ def _search_job(dim: int, k: int, least: float | None):
             rows, cols, v = rows[o], cols[o], v[o]
             rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
             keep = rank < k
-            found.append(pd.DataFrame({"id": ids[rows[keep]], "other": xi[cols[keep]], "cosine": v[keep]}))
+            rows, others, v = rows[keep], xi[cols[keep]], v[keep]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            ends = np.append(first[1:], len(rows))
+            o, c = others.astype("<i8"), v.astype("<f4")
+            found.append(pd.DataFrame({"id": ids[rows[first]], "hits": [o[a:b].tobytes() + c[a:b].tobytes() for a, b in zip(first, ends)]}))
         return pd.concat(found, ignore_index=True) if found else empty
 
     return run
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = None, recall: float = 0.95) -> DataFrame:
+@F.pandas_udf(T.BinaryType())
+def _half(u: pd.Series) -> pd.Series:
+    """The vectors in half precision: their cosines change by some 1e-5."""
+    return u.map(lambda b: np.frombuffer(b, dtype=np.float32).astype(np.float16).tobytes())
+
+
+def _best(k: int):
+    def run(hits: pd.Series) -> pd.Series:
+        out = []
+        for parts in hits:
+            n = [len(h) // 12 for h in parts]
+            o = np.concatenate([np.frombuffer(h, dtype="<i8", count=m) for h, m in zip(parts, n)])
+            c = np.concatenate([np.frombuffer(h, dtype="<f4", offset=8 * m) for h, m in zip(parts, n)])
+            top = np.lexsort((o, -c))[:k]
+            out.append([(int(o[t]), float(c[t])) for t in top])
+        return pd.Series(out)
+
+    run.__annotations__ = {"hits": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.ArrayType(T.StructType([T.StructField("other", T.LongType()), T.StructField("cosine", T.FloatType())])))
+
+
+def _merged(hits: DataFrame, k: int) -> DataFrame:
+    """(id, other, cosine): the ``k`` best of a query's hits; it has at most k from each part that it probed."""
+    best = hits.groupBy("id").agg(F.collect_list("hits").alias("hits")).select("id", F.explode(_best(k)("hits")).alias("x"))
+    return best.select("id", "x.other", "x.cosine")
+
+
+def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = None, recall: float = 0.95, part: int = PART) -> DataFrame:
     """(id, other, cosine, rank): for every usable vector its ``k`` most similar others, rank 1 first, ties by id.
 
     With ``least``, only neighbours of at least that cosine come out, which needs fewer parts. ``recall`` is the share of
-    neighbours that calibration asks for. Vectors that are NULL, empty, of another dimension, all zero or not finite have
+    neighbours that calibration asks for, ``part`` the vectors a part has on average: with larger parts fewer are probed, so less is moved
+    and more is compared. Without ``least``, cosines of vectors in other parts are right to about 1e-4. Vectors that are NULL, empty, of another dimension, all zero or not finite have
     no rows; a row delivered twice counts once; an empty table gives an empty result."""
     spark = df.sparkSession
     units = materialize(spread(usable_vectors(df, id_col, vec, dim), "id").mapInPandas(_unit, "id long, u binary"), "vectors")
@@ -244,7 +289,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
     few = materialize(some.withColumn("rep", F.min("id").over(w)).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k + 1), "classes")
     reps = few.filter("nth = 1").select("id", "u")
     n = reps.count()
-    parts = min(MOST_PARTS, max(1, round(n / PART)))
+    parts = min(MOST_PARTS, max(1, round(n / part)))
     share = min(1.0, SAMPLE / max(n, 1))
     picked = reps.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("u").collect()
     x = _matrix(pd.Series([bytes(r["u"]) for r in picked]), dim) if picked else np.zeros((0, dim), dtype=np.float32)
@@ -265,10 +310,12 @@ def nearest_neighbours(df: DataFrame, id_col: str = "id", vec: str = "embedding"
         .withColumn("ask", F.col("bq") % F.col("nq") == F.pmod(F.shiftright(h, 20), F.col("nq")))
         .filter("base or ask").select("id", "u", "base", "ask", "part", "bq")
     )
+    if least is None:
+        # copies of a query that only ask, which are most of what is moved
+        sent = sent.withColumn("u", F.when(F.col("base"), F.col("u")).otherwise(_half("u")))
     # a task a block, whatever the number of blocks, so that none reads more the larger the collection is
     sent = sent.repartition(max(sum(nb * nq for _, nb, nq in cut), spark.sparkContext.defaultParallelism), "part", "bq")
-    hits = sent.groupBy("part", "bq").applyInPandas(_search_job(dim, k, least), "id long, other long, cosine float")
-    near = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k).select("id", "other", "cosine")
+    near = _merged(sent.groupBy("part", "bq").applyInPandas(_search_job(dim, k, least), HITS), k)
     # back from classes to records: the candidates of a class are its smallest members and those of the classes near to it, of which the
     # k + 1 best serve every member. They meet the records of large classes in SALTS parts; the members of others are all in ``few``.
     inner = few.filter(F.col("nth") <= k).select(F.col("rep").alias("rep2"), F.col("id").alias("other"))
@@ -301,9 +348,8 @@ def recall_against_brute_force(df: DataFrame, neighbours: DataFrame, id_col: str
     b, a = part(nb, nq), part(nq, nb)
     base = units.select("id", "u", F.lit(True).alias("base"), F.lit(False).alias("ask"), b[0].alias("part"), b[1].alias("bq"))
     ask = asked.select("id", "u", F.lit(False).alias("base"), F.lit(True).alias("ask"), a[1].alias("part"), a[0].alias("bq"))
-    hits = base.unionByName(ask).repartition(max(nb * nq, spark.sparkContext.defaultParallelism), "part", "bq").groupBy("part", "bq").applyInPandas(_search_job(dim, k, None), "id long, other long, cosine float")
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k)
-    least = best.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
-    got = neighbours.select("id", "cosine").join(least.select("id", "least"), "id").filter(F.col("cosine") >= F.col("least") - 1e-5).groupBy("id").agg(F.count(F.lit(1)).alias("got"))
+    hits = base.unionByName(ask).repartition(max(nb * nq, spark.sparkContext.defaultParallelism), "part", "bq").groupBy("part", "bq").applyInPandas(_search_job(dim, k, None), HITS)
+    least = _merged(hits, k).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
+    got = neighbours.select("id", "cosine").join(least.select("id", "least"), "id").filter(F.col("cosine") >= F.col("least") - 1e-4).groupBy("id").agg(F.count(F.lit(1)).alias("got"))
     s = least.join(got, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least(F.coalesce("got", F.lit(0)), F.col("n"))).alias("got"))
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(s).select("n_queries", F.coalesce(F.col("got") / F.col("n"), F.lit(1.0)).alias("recall"))  # one row each
