@@ -23,6 +23,8 @@ _LAST = "\0"
 #: and again and are not lost when long ones, of which most come once, have filled theirs; longer ones are not kept.
 CACHE, SHORT = 200_000, 80
 CACHE_LONG, KEPT = 20_000, 600
+#: Different kinds of bracket groups that are remembered from text to text.
+MOST_KINDS = 50_000
 
 
 class Grammar:
@@ -294,6 +296,12 @@ class Grammar:
             lens.append(size)
         return list(ends.items()), far
 
+    def renew(self) -> None:
+        """Forget what bracket groups stand for when there are many of them. Between texts only: a reduced text holds their characters."""
+        if len(self._of) > MOST_KINDS:
+            for cache in (self._sig, self._sig_long, self._of, self.group, self._memo, self._lens, self._picked):
+                cache.clear()
+
     def _reduced(self, m: re.Match) -> str:
         whole = m.group()
         cache, most = (self._sig, CACHE) if len(whole) <= SHORT else (self._sig_long, CACHE_LONG)

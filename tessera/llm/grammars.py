@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import regex
+
 from tessera.llm.gll import Grammar
 
 ID, NUM, STR, BIN, AUG, LF = "a", "0", '"', "B", "A", "N"
@@ -72,6 +74,7 @@ class Lexer(dict):
 
     def dialects(self, text: str) -> int:
         s = self.tokens(text)
+        self.grammar.renew()
         return 0 if s is None else self.grammar.accepts(self.grammar.reduce(s))
 
 
@@ -180,10 +183,37 @@ _JS = _JS.replace("Stmts = Stmt* ;", "Stmts = Stmt* Simple? ;").replace("File =
 _JS = _JS.replace("ClassBody = Member* ;", "ClassBody = Member* LastMember? ;")
 JS = Grammar(_JS, ["js", "ts"], "File", _CLASSES, ("Stmt", "Simple", "Member", "LastMember"))
 _C_STR = r'"(?:\\.|[^"\\\n])*"'
-_JS_TRIVIA = _trivia(
-    r"(?P<c>//[^\n]*|/\*.*?\*/|\A\#![^\n]*)|(?P<s>" + _C_STR + r"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"
-    r"|(?P<p>[=(,:;!&|?{}\[+~^%<>*-][ \t]*|^[ \t]*|\breturn[ \t]+|\btypeof[ \t]+)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*|(?P<x>[\"'`]|/\*)"
+_JS_ESC = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|\r\n|[^xu])"
+_JS_PLAIN = rf'"(?:{_JS_ESC}|[^"\\\n])*"' + rf"|'(?:{_JS_ESC}|[^'\\\n])*'"
+_JS_NOTE = r"(?P<c>//[^\n]*|/\*.*?\*/|\A\#![^\n]*)"
+# a slash begins a literal after an operator, a word that an operand follows, the head of a statement, or at the begin of a line
+_JS_REGEX = r"(?P<p>(?:[=(,:;!&|?{}\[+~^%<>*-][ \t]*|^[ \t]*|\b(?:return|typeof|case|else|void|delete|in|of|yield|await|throw|do)[ \t]+|\b(?:if|while|with)[ \t]*\((?:[^()\n\"'`/]|\([^()\n\"'`/]*\))*\)[ \t]*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*)"
+_JS_TRIVIA = _trivia(_JS_NOTE + rf"|(?P<s>{_JS_PLAIN}|`(?:\\.|[^`\\])*`)|" + _JS_REGEX + r"|(?P<x>[\"'`]|/\*)")
+#: Whether a template literal can stand within another one, which takes a pattern that calls itself.
+_JS_NESTED = re.compile(r"\$\{[^`}]*`")
+_JS_DEEP = (
+    _JS_NOTE + rf"|(?P<s>{_JS_PLAIN}|(?P<t>`(?:\\.|\$\{{(?P<e>(?:[^{{}}`\"'/\\]|/(?![/*])|//[^\n]*|/\*.*?\*/|{_JS_PLAIN}|(?&t)|\{{(?&e)\}})*+)\}}|\$(?!\{{)|[^`\\$])*+`))|" + _JS_REGEX + r"|(?P<x>[\"'`]|/\*)"
 )
+
+
+class _Js(Lexer):
+    deep = None
+
+    def tokens(self, text: str) -> str | None:
+        if not _JS_NESTED.search(text):
+            return super().tokens(text)
+        if _Js.deep is None:
+            _Js.deep = regex.compile(_JS_DEEP, regex.S | regex.M)
+        plain, self.trivia = self.trivia, _Js.deep
+        try:
+            return super().tokens(text)
+        finally:
+            self.trivia = plain
+
+    def _piece(self, m) -> str:
+        return STR if m.group("s") is not None else super()._piece(m)
+
+
 _JS_OPS = {
     BIN: ["==", "!=", "===", "!==", "<=", "&&", "||", "??", "<<", "**", "%", "^", ">="],
     AUG: ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>=", "**=", "&&=", "||=", "??="],
@@ -256,7 +286,8 @@ Item = ( Elem ':' )? Elem ;
 Elem = Expr | brace(Lit) ;
 """, ["go"], "File", _CLASSES, ("Stmt", "Top"))
 _GO_OPS = {BIN: ["==", "!=", "<=", ">=", "&&", "||", "<<", ">>", "&^", "%"], AUG: ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "&^="]}
-_GO_TRIVIA = _trivia(r"(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>" + _C_STR + r"|`[^`]*`|'(?:\\[^\n][^'\n]*|[^'\\\n])')|(?P<x>[\"'`]|/\*)")
+_GO_ESC = r"\\(?:[abfnrtv\\]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
+_GO_TRIVIA = _trivia(r"(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>\"(?:" + _GO_ESC + r"|\\\"|[^\"\\\n])*\"|`[^`]*`|'(?:" + _GO_ESC + r"|\\'|[^'\\\n])')|(?P<x>[\"'`]|/\*)")
 
 
 def _go_lines(g: Grammar):
@@ -332,7 +363,8 @@ Prim = Id | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | paren(Exp
   | 'switch' paren(Expr) brace(Cases) ;
 """, ["java", "compact"], "File", _CLASSES, ("Stmt", "Member"))
 _JAVA_OPS = {BIN: ["==", "!=", "<=", ">=", "&&", "||", "<<", "%", "^"], AUG: ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="]}
-_JAVA_TRIVIA = _trivia(r'(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>"""(?:\\.|.)*?"""|' + _C_STR + r"|'(?:\\[^\n][^'\n]*|[^'\\\n])')|(?P<x>[\"'`]|/\*)")
+_JAVA_ESC = r"\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4})"
+_JAVA_TRIVIA = _trivia(rf'(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>"""(?:{_JAVA_ESC}|\\\r?\n|[^\\])*?"""|"(?:{_JAVA_ESC}|[^"\\\n])*"|' + rf"'(?:{_JAVA_ESC}|[^'\\\n])')" + r"|(?P<x>[\"'`]|/\*)")
 
 # --- C and C++ ---
 
@@ -414,6 +446,46 @@ _CPP_TRIVIA = _trivia(
     r'|(?P<s>(?:u8|[uUL])?R"(?P<d>[^(\s]{0,16})\(.*?\)(?P=d)"|(?:u8|[uUL])?' + _C_STR + r"|(?:u8|[uUL])?'(?:\\[^\n][^'\n]*|[^'\\\n]{1,4})')|(?P<k>\b0?[xXbB]?[0-9a-fA-F]+(?:'[0-9a-fA-F]+)+)|(?P<x>[\"'`]|/\*)"
 )
 
+_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b(?:[^\n\\]|\\\r?\n|\\.)*$", re.M)
+
+
+def _arms(text: str, first: bool) -> str | None:
+    """``text`` with the first or the last arm of each conditional; None where the directives don't match."""
+    out, at, stack = [], 0, []  # of each open conditional: whether its present arm is kept
+
+    def emit(end: int) -> None:
+        part = text[at:end]
+        out.append(part if all(stack) else "\n" * part.count("\n"))
+
+    for m in _DIRECTIVE.finditer(text):
+        emit(m.start())
+        at = m.end()
+        k = m.group(1)
+        if k in ("if", "ifdef", "ifndef"):
+            stack.append(first)
+        elif not stack:
+            return None
+        elif k == "endif":
+            if not first and not stack[-1]:
+                stack[-1] = None  # a conditional of one arm: that arm is not taken
+            stack.pop()
+        else:
+            stack[-1] = not first and k == "else"
+    emit(len(text))
+    return None if stack else "".join(out)
+
+
+class _Cpp(Lexer):
+    """A text is accepted with all arms of its conditionals, or else with the first arms and with the last ones, each for itself."""
+
+    def dialects(self, text: str) -> int:
+        found = super().dialects(text)
+        if found or not _DIRECTIVE.search(text):
+            return found
+        one, other = _arms(text, True), _arms(text, False)
+        return 0 if one is None or other is None else super().dialects(one) & super().dialects(other)
+
+
 # --- Rust ---
 
 RUST = Grammar("""
@@ -492,9 +564,10 @@ EArr = EList | Expr ';' Expr ;
 Prim = EPath | EPath '!' ( paren(Tokens) | brack(Tokens) | brace(Tokens) ) | NUM | STR | 'true' | 'false' | paren(EList) | brack(EArr) | Blocky ;
 """, ["rust"], "File", _CLASSES | {"LIFE": "L"}, ("Stmt", "Item", "Last"))
 _RUST_OPS = {BIN: ["==", "!=", "<=", ">=", "<<", "%"], AUG: ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="]}
+_RUST_ESC = r"\\(?:[nrt\\0\"']|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\})"
 _RUST_TRIVIA = _trivia(
     r"(?P<c>//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/)"
-    r'|(?P<s>(?:b|c)?r(?P<h>#*)".*?"(?P=h)|[bc]?"(?:\\.|[^"\\])*"|b?\'(?:\\[^\n][^\'\n]*|[^\'\\\n])\')|(?P<l>\'[A-Za-z_]\w*)|(?P<x>["\'`]|/\*)'
+    r'|(?P<s>(?:b|c)?r(?P<h>#*)".*?"(?P=h)|[bc]?"(?:' + _RUST_ESC + r'|\\\r?\n|[^"\\])*"|b?\'(?:' + _RUST_ESC + r'|[^\'\\\n])\')|(?P<l>\'[A-Za-z_]\w*)|(?P<x>["\'`]|/\*)'
 )
 
 
@@ -634,14 +707,14 @@ LEXERS: dict[str, tuple[Lexer, int]] = {}
 
 
 def _register() -> None:
-    js = Lexer(JS, _JS_TRIVIA, _JS_OPS, _js_lines(JS))
+    js = _Js(JS, _JS_TRIVIA, _JS_OPS, _js_lines(JS))
     LEXERS.update(
         json=(_Json(JSON, _JSON_TRIVIA, {}), 1),
         javascript=(js, JS.dialects["js"]),
         typescript=(js, JS.dialects["ts"]),
         go=(Lexer(GO, _GO_TRIVIA, _GO_OPS, _go_lines(GO)), 1),
         java=(Lexer(JAVA, _JAVA_TRIVIA, _JAVA_OPS), JAVA.all),
-        cpp=(Lexer(CPP, _CPP_TRIVIA, _CPP_OPS), 1),
+        cpp=(_Cpp(CPP, _CPP_TRIVIA, _CPP_OPS), 1),
         rust=(_Rust(RUST, _RUST_TRIVIA, _RUST_OPS), 1),
         python=(_Python(PYTHON, _PY_TRIVIA, _PY_OPS), PYTHON.all),
     )

@@ -157,9 +157,9 @@ def _fill(capacity: int):
 def pack(df: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     """(item, part, size, container): where every item goes.
 
-    Items of size 0 or NULL and NULL items have no row; an item repeated with the same size counts once; an item of at most the
+    Items of size 0 or NULL and NULL items have no row; a repeated item counts once, with its largest size; an item of at most the
     capacity is never cut (part 0). Ranks among equal sizes follow the item's id."""
-    df = df.filter(F.col(item).isNotNull() & (F.col(size) > 0)).select(F.col(item).cast("long").alias("item"), F.col(size).cast("long").alias("whole")).dropDuplicates(["item", "whole"])
+    df = df.filter(F.col(item).isNotNull() & (F.col(size) > 0)).select(F.col(item).cast("long").alias("item"), F.col(size).cast("long").alias("whole")).groupBy("item").agg(F.max("whole").alias("whole"))
     pieces = materialize(
         df.select("item", F.posexplode(F.when(F.col("whole") <= capacity, F.array("whole")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.col("whole") / capacity) - 1), lambda k: F.least(F.lit(capacity).cast("long"), F.col("whole") - k * capacity)))).alias("part", "size")),
         "pieces",

@@ -89,6 +89,11 @@ def test_mixture_edges(spark):
     assert mixture_report(mixture(d.limit(0), t), t).count() == 3
 
 
+def test_item_of_two_sizes(spark):
+    d = spark.createDataFrame([(1, 5), (1, 9), (1, 9), (2, 600)], "doc long, n long")
+    assert sorted((r["item"], r["part"], r["size"]) for r in pack(d, "doc", "n", 512).collect()) == [(1, 0, 9), (2, 0, 512), (2, 1, 88)]
+
+
 def test_certain_documents(spark):
     # one document holds half of its source: with the others' odds computed anew the sample's expected size is what is wanted
     rows = [(0, "a", 5000)] + [(k, "a", 10) for k in range(1, 501)] + [(1000 + k, "b", 10) for k in range(600)]

@@ -28,6 +28,41 @@ BAD = {
 }
 
 
+MORE_GOOD = {
+    "javascript": ["x = `a ${b ? `y ${c}` : ''} z`;\n", "x = `${{a: `}`}.a} ${f('`')} $ ${'}'}`\ny()\n", "if (x) /a(b/.test(y);\nwhile (f(x)) /[/]c/.exec(z)\n", "a = b / c / d;\nswitch (x) { case /y/.test(z): break }\n", "s = '\\x41\\u00e9\\u{1F600}\\d\\\n';\n"],
+    "cpp": ["#if A\nint f(int x) {\n#else\nint f() {\n#endif\n  return 1;\n}\n", "#ifdef A\nclass B : public C {\n#elif D\nclass B : public E {\n#else\nclass B {\n#endif\n};\n", "#if A\n#include <a>\n#endif\nint x;\n"],
+    "go": ['package a\n\nvar s = "\\n\\x41\\u00e9\\U0001F600\\101\\\\\\""\nvar r = \'\\\'\'\n'],
+    "java": ['class A { String s = "\\n\\u0041\\0\\s"; char c = \'\\\'\'; String t = """\n a \\\n b "c"\n"""; }\n'],
+    "rust": ["const S: &str = \"\\n\\u{1F600}\\x41\\0\\\n  b\";\nconst C: char = '\\'';\n"],
+}
+MORE_BAD = {
+    "javascript": ["x = `a ${b ? `y` : '' z`;\n", "s = '\\xg1';\n", "s = '\\u12';\n", "x = `a ${b`;\n"],
+    "cpp": ["#if A\nint f(int x) {\n#else\nint f( {\n#endif\n  return 1;\n}\n", "#if A\nint f() {\n#else\nint g() {\n"],
+    "go": ['package a\n\nvar s = "\\R"\n', 'package a\n\nvar s = "\\d"\n', "package a\n\nvar s = '\\\"'\n"],
+    "java": ['class A { String s = "\\R"; }\n', 'class A { String s = "\\u12"; }\n'],
+    "rust": ['const S: &str = "\\R";\n', 'const S: &str = "\\u12";\n'],
+}
+
+
+@pytest.mark.parametrize("language,text", [(k, t) for k, v in MORE_GOOD.items() for t in v])
+def test_more_good(language, text):
+    assert parses(text, language)
+
+
+@pytest.mark.parametrize("language,text", [(k, t) for k, v in MORE_BAD.items() for t in v])
+def test_more_bad(language, text):
+    assert not parses(text, language)
+
+
+def test_kinds_of_groups_are_bounded(monkeypatch):
+    from tessera.llm import gll, grammars
+
+    monkeypatch.setattr(gll, "MOST_KINDS", 1)
+    for _ in range(3):
+        assert parses("f((a)[b], {c: [d]})\n", "javascript") and not parses("f((a)[b], {c: [d)})\n", "javascript")
+    assert len(grammars.JS._of) < 20
+
+
 @pytest.mark.parametrize("language,text", [(k, t) for k, v in GOOD.items() for t in v])
 def test_good(language, text):
     assert parses(text, language)
