@@ -349,10 +349,11 @@ def search_texts(docs: DataFrame, query: str, id_col: str = "id", text: str = "c
 
 
 def build_postings(docs: DataFrame, id_col: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths): (term, id, dl, positions) and (id, dl). Written sorted by term, a query reads few row groups."""
+    """(postings, lengths): (term, id, dl, positions) and (id, dl). Written sorted by term, a query reads few row groups. An id that is
+    delivered twice with one text counts once; texts are not moved, only their terms and positions."""
     t = spread(docs.select(id_col, text)).select(F.col(id_col).alias("id"), F.explode(F.array(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")))).alias("t"))
-    p = t.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")).groupBy("term", "id", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return p.select("term", "id", "dl", "positions"), t.select("id", F.size("t").alias("dl"))
+    p = t.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")).groupBy("term", "id").agg(F.max("dl").alias("dl"), F.array_sort(F.collect_set("pos")).alias("positions"))
+    return p.select("term", "id", "dl", "positions"), t.select("id", F.size("t").alias("dl")).groupBy("id").agg(F.max("dl").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

@@ -50,10 +50,13 @@ def nearest(df: DataFrame, query: list[float], k: int, id_col: str = "id", vec:
 def searchable(chunks: DataFrame, files: DataFrame, mode: str = "RAM", hybrid_limit: int = HYBRID_VECTORS) -> DataFrame:
     """The vectors a mode searches: RAM the newest 100,000, HYBRID the newest ``hybrid_limit``, DISK none. Newest by the file's
     last_modified, ties by chunk id; chunks of unknown files and without a vector are left out."""
-    joined = chunks.filter(F.size("embedding") > 0).join(files.select(F.col("id").alias("file_id"), "last_modified"), "file_id")
+    has = chunks.filter(F.size("embedding") > 0)
     if mode == "DISK":
-        return joined.limit(0)
-    return joined.orderBy(F.desc("last_modified"), "id").limit(hybrid_limit if mode == "HYBRID" else RAM_VECTORS)
+        return has.withColumn("last_modified", F.lit(None).cast("long")).limit(0)
+    # ids and times are ranked, vectors stay where they are; the ids kept are at most 100,000
+    keys = has.select("id", "file_id").join(files.select(F.col("id").alias("file_id"), "last_modified"), "file_id").select("id", "last_modified")
+    newest = keys.orderBy(F.desc("last_modified"), "id").limit(hybrid_limit if mode == "HYBRID" else RAM_VECTORS)
+    return has.join(F.broadcast(newest), "id")
 
 
 def approximate(df: DataFrame, query: list[float], k: int, id_col: str = "id", vec: str = "embedding", buckets: float = 2.0, tables: int = 8, seed: int = 100) -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.functions.wordpiece import encode_column
 from tessera.index import call_table, chunk_files, symbol_table
 from tessera.operators import chunking as K
 from tessera.operators import store as S
-from tessera.plans.retrieval import chunks, files
+from tessera.plans.retrieval import chunks, deliveries, files
 from tessera.schema import CHUNKS, FILES
 from tessera.session import shared_dir
 from tessera.sources.scan import assign_root, scan_tree, snapshot_events, with_hash
@@ -167,12 +167,12 @@ def migrate_files(spark, d):
 
 
 def newline_count(spark, d):
-    return chunks(spark, d).select("id", X.newlines(F.col("content")).alias("n"))
+    return deliveries(spark, d).select("id", X.newlines(F.col("content")).alias("n")).distinct()  # counts are moved, not texts
 
 
 def line_span(spark, d):
     """Chunks whose lines disagree with their newlines."""
-    return chunks(spark, d).filter(F.col("end_line") - F.col("start_line") != X.newlines(F.col("content"))).select("id")
+    return deliveries(spark, d).filter(F.col("end_line") - F.col("start_line") != X.newlines(F.col("content"))).select("id").distinct()
 
 
 def chunk_recursive(spark, d):
@@ -193,11 +193,34 @@ def chunk_breakpoints(spark, d):
     return K.breakpoint_chunks(t, "doc_id", "text", "bps", 1000, 100)
 
 
+_WORDS = ["[PAD]", *[f"[unused{k}]" for k in range(99)], "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789", *["##" + c for c in "abcdefghijklmnopqrstuvwxyz0123456789"], "token", "##token", "cache", "search", "##ing", "##er", "##ed", "##s", "the"]
+_VOCABULARY = {w: k for k, w in enumerate(_WORDS)}
+
+
 def wordpiece(spark, d):
     """Ids over a vocabulary of the alphabet and common endings."""
-    words = ["[PAD]", *[f"[unused{k}]" for k in range(99)], "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789", *["##" + c for c in "abcdefghijklmnopqrstuvwxyz0123456789"], "token", "##token", "cache", "search", "##ing", "##er", "##ed", "##s", "the"]
-    ids = encode_column(F.col("content"), {w: k for k, w in enumerate(words)})
-    return chunks(spark, d).select("id", F.size(ids).alias("n"), F.hash(ids).alias("h"))
+    ids = encode_column(F.col("content"), _VOCABULARY)
+    return deliveries(spark, d).select("id", F.size(ids).alias("n"), F.hash(ids).alias("h")).distinct()
+
+
+def wordpiece_bounds(spark, d):
+    """What holds of any text's ids: the markers at both ends, at most 512 ids, none of a piece that is not in the vocabulary."""
+    ids = F.col("ids")
+    e = deliveries(spark, d).select("id", encode_column(F.col("content"), _VOCABULARY).alias("ids"))
+    ok = (F.element_at(ids, 1) == 101) & (F.element_at(ids, -1) == 102) & (F.size(ids) <= 512) & F.forall(ids, lambda x: (x >= 100) & (x < len(_WORDS)))
+    return e.select("id", ok.alias("ok")).distinct()
+
+
+def chunk_recursive_bounds(spark, d):
+    """What holds of any text's pieces: each is in the text, the first begins it, the last ends it, and lines go up."""
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text <> ''")
+    p = docs.select("doc_id", "text", F.explode(K.recursive_chunks(F.col("text"), 200, 30)).alias("c"))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    g = p.groupBy("doc_id").agg(
+        F.bool_and(F.contains(F.col("text"), F.col("c.content"))).alias("inside"), F.bool_and((F.col("c.start_line") >= 1) & (F.col("c.end_line") >= F.col("c.start_line"))).alias("lines"),
+        F.max(F.col("c.end_line")).alias("last"), F.first(X.newlines(F.rtrim(F.col("text"))) + 1).alias("n"), F.first(bare(F.col("text"))).alias("t"), F.array_join(F.collect_list(bare(F.col("c.content"))), "").alias("all"),
+    )
+    return g.select("doc_id", (F.col("inside") & F.col("lines") & (F.length("all") >= F.length("t"))).alias("ok"))
 
 
 def symbols_extract(spark, d):
@@ -254,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_binary_hash, list_files, point_lookup, chunk_lookup, read_resource, sha256, ext_language, ext_whitelist, ignore_glob, project_root_prefix_join, metadata_change, hash_change, upsert_files, insert_chunks, delete_file_anti, delete_chunks_anti,
-        delete_links_anti, delete_fts_semi, set_indexed, wipe, status_counts, migrate_schema, migrate_files, newline_count, line_span, chunk_recursive, chunk_recursive_small, chunk_lines, chunk_breakpoints, wordpiece, symbols_extract, calls_extract,
+        delete_links_anti, delete_fts_semi, set_indexed, wipe, status_counts, migrate_schema, migrate_files, newline_count, line_span, chunk_recursive, chunk_recursive_small, chunk_lines, chunk_breakpoints, chunk_recursive_bounds, wordpiece, wordpiece_bounds, symbols_extract, calls_extract,
         index_files, first_chunk_links, event_latest_state, event_windows, snapshot_diff, stream_ingest,
     )
 }
@@ -293,6 +316,8 @@ ORACLE_SQL = {
     "migrate_schema": "SELECT DISTINCT id, file_id, NULL::VARCHAR AS symbol_name, NULL::VARCHAR AS symbol_type, NULL::VARCHAR AS project_root, NULL::VARCHAR AS language FROM chunks",
     "migrate_files": "SELECT DISTINCT path, hash, last_modified, size, is_indexed, NULL::VARCHAR AS project_root, id FROM files",
     "newline_count": "SELECT DISTINCT id, (length(content) - length(replace(content, chr(10), '')))::INT AS n FROM chunks",
+    "wordpiece_bounds": "SELECT DISTINCT id, true AS ok FROM chunks",
+    "chunk_recursive_bounds": "SELECT doc_id, true AS ok FROM documents WHERE text <> ''",
     "line_span": "SELECT DISTINCT id FROM chunks WHERE end_line - start_line <> length(content) - length(replace(content, chr(10), ''))",
     "chunk_lines": "WITH l AS (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)) AS l FROM documents WHERE text <> ''), w AS (SELECT doc_id, l, unnest(range(0, greatest(0, ceil((len(l) - 20) / 15.0))::BIGINT + 1)) AS k FROM l) SELECT doc_id, k::INT AS ordinal, (k * 15 + 1)::INT AS start_line, least(k * 15 + 20, len(l))::INT AS end_line, array_to_string(l[k * 15 + 1 : k * 15 + 20], chr(10)) || chr(10) AS content FROM w",
     "event_latest_state": f"WITH {_EV} SELECT * FROM e",

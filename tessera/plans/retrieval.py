@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tessera.functions.text import terms
 from tessera.operators import fulltext as T
 from tessera.operators import vectors as V
 from tessera.operators.fusion import Filters, hybrid_search, keyword_search, rank_positions, reciprocal_rank_fusion
-from tessera.session import materialize
+from tessera.session import shared_dir
 from tessera.sources.tables import table
 
 _FIELDS = ["id", "content", "start_line", "end_line", "symbol_name", "symbol_type", "project_root", "language"]
@@ -31,6 +33,22 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").dropDuplicates(["id"])
 
 
+_INDEX: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of the chunks of a folder, as they are written at ingest: the postings sorted by term, so that a query's terms
+    are found by the statistics of few row groups, and one row of statistics. Built at the first query of an application, read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEX:
+        path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+        p, lengths = T.build_postings(table(spark, d, "chunks").select("id", "content"))
+        p.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        T.corpus_stats(lengths).write.parquet(f"{path}/statistics")
+        _INDEX[key] = path
+    return spark.read.parquet(f"{_INDEX[key]}/postings"), spark.read.parquet(f"{_INDEX[key]}/statistics")
+
+
 _C = "c AS (SELECT DISTINCT id, content, start_line, end_line, symbol_name, symbol_type, project_root, language FROM chunks)"
 _T = _C + r", t AS (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') AS w FROM c)"
 
@@ -94,32 +112,40 @@ _V = f"v AS (SELECT id, any_value(embedding) AS e FROM chunks WHERE {_GOOD} GROU
 
 def _search(query: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return T.search_texts(deliveries(spark, d).select("id", "content"), query, once=False).select("id", F.round("rank", 6).alias("rank"))
+        return T.search_postings(*text_index(spark, d), query).select("id", F.round("rank", 6).alias("rank"))
 
     return run
 
 
+def fts_scan(spark, d):
+    """A full-text query without an index: one pass over the texts."""
+    return T.search_texts(deliveries(spark, d).select("id", "content"), _QUERY, once=False).select("id", F.round("rank", 6).alias("rank"))
+
+
 def fts_tokens(spark, d):
-    t = chunks(spark, d).select("id", F.explode(terms(F.col("content"))).alias("term"))
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_docs"))
+    # counted in each text before anything is moved; a text delivered twice is counted once
+    t = deliveries(spark, d).select("id", F.explode(terms(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    twice = table(spark, d, "chunks").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    return t.join(twice, "id").groupBy("term").agg(F.sum((F.col("n") / F.col("times")).cast("long")).alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def fts_postings(spark, d):
-    p, _ = T.build_postings(chunks(spark, d).select("id", "content"))
+    p, _ = T.build_postings(table(spark, d, "chunks").select("id", "content"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("positions")).alias("n"), F.min(F.element_at("positions", 1)).alias("first_at"))
 
 
 def bm25_topk(spark, d):
-    return keyword_search(deliveries(spark, d), _QUERY, 10, once=False).select("id", F.round("rank", 6).alias("rank"))
+    return keyword_search(deliveries(spark, d), _QUERY, 10, index=text_index(spark, d), once=False).select("id", F.round("rank", 6).alias("rank"))
 
 
 def bm25_index(spark, d):
-    p, n = T.build_postings(chunks(spark, d).select("id", "content"))
+    """The index built and read in one plan."""
+    p, n = T.build_postings(table(spark, d, "chunks").select("id", "content"))
     return T.search_postings(p, T.corpus_stats(n), _QUERY).select("id", F.round("rank", 6).alias("rank"))
 
 
 def bm25_filtered(spark, d):
-    return keyword_search(deliveries(spark, d), _QUERY, 10, Filters("function", "python"), once=False).select("id", F.round("rank", 6).alias("rank"))
+    return keyword_search(deliveries(spark, d), _QUERY, 10, Filters("function", "python"), text_index(spark, d), once=False).select("id", F.round("rank", 6).alias("rank"))
 
 
 def filter_counts(spark, d):
@@ -189,7 +215,7 @@ def dummy_embed(spark, d):
 
 def _legs(spark, d, k):
     near = V.nearest(_usable(spark, d), _probe(spark, d), k)
-    words = keyword_search(deliveries(spark, d), _QUERY, k, once=False)
+    words = keyword_search(deliveries(spark, d), _QUERY, k, index=text_index(spark, d), once=False)
     return rank_positions(near, "distance", "id"), rank_positions(words, "rank", "id")
 
 
@@ -198,7 +224,7 @@ def rrf(spark, d):
 
 
 def _hybrid(spark, d, query=_QUERY, vector=None, filters=Filters(), prefilter=False, limit=10):
-    h = hybrid_search(deliveries(spark, d, "embedding"), query, _probe(spark, d) if vector is None else vector, limit, filters, prefilter, vectors=_usable(spark, d).join(filters.apply(deliveries(spark, d)).select("id", "symbol_type", "language", "project_root").dropDuplicates(["id"]), "id") if prefilter else _usable(spark, d), once=False)
+    h = hybrid_search(deliveries(spark, d, "embedding"), query, _probe(spark, d) if vector is None else vector, limit, filters, prefilter, vectors=_usable(spark, d).join(filters.apply(deliveries(spark, d)).select("id", "symbol_type", "language", "project_root").dropDuplicates(["id"]), "id") if prefilter else _usable(spark, d), index=text_index(spark, d), once=False)
     return h.select("id", "start_line", "end_line", "symbol_name", "symbol_type", F.round("score", 6).alias("score"), "type")
 
 
@@ -206,12 +232,9 @@ def hybrid(spark, d):
     return _hybrid(spark, d)
 
 
-def hybrid_index(spark, d):
-    """Hybrid search with the keyword leg on a postings table that was written before."""
-    c = chunks(spark, d, "embedding")
-    p, n = T.build_postings(c.select("id", "content"))
-    p = materialize(p.repartitionByRange("term").sortWithinPartitions("term"), "postings")
-    h = hybrid_search(c, _QUERY, _probe(spark, d), 10, vectors=_usable(spark, d), index=(p, T.corpus_stats(n)))
+def hybrid_scan(spark, d):
+    """Hybrid search whose keyword leg reads the texts."""
+    h = hybrid_search(deliveries(spark, d, "embedding"), _QUERY, _probe(spark, d), 10, vectors=_usable(spark, d), once=False)
     return h.select("id", "start_line", "end_line", "symbol_name", "symbol_type", F.round("score", 6).alias("score"), "type")
 
 
@@ -250,7 +273,7 @@ _SYMBOL = "SELECT min(symbol_name) AS s FROM c WHERE symbol_type = 'function' AN
 def definition(spark, d):
     c = chunks(spark, d)
     s = c.filter((F.col("symbol_type") == "function") & F.col("symbol_name").rlike("^[a-z]+_[a-z]+_[a-z]+_[a-z]+$")).agg(F.min("symbol_name")).first()[0]
-    return get_definition(c, s or "").select("id", "start_line", "symbol_name", "symbol_type", F.round("rank", 6).alias("rank"))
+    return get_definition(c, s or "", text_index(spark, d)).select("id", "start_line", "symbol_name", "symbol_type", F.round("rank", 6).alias("rank"))
 
 
 def outline(spark, d):
@@ -261,9 +284,9 @@ def outline(spark, d):
 
 QUERIES = {n: _search(q) for n, (q, _) in _SEARCHES.items()}
 QUERIES |= {
-    "fts_tokens": fts_tokens, "fts_postings": fts_postings, "bm25_topk": bm25_topk, "bm25_index": bm25_index, "bm25_filtered": bm25_filtered, "filter_counts": filter_counts,
+    "fts_scan": fts_scan, "fts_tokens": fts_tokens, "fts_postings": fts_postings, "bm25_topk": bm25_topk, "bm25_index": bm25_index, "bm25_filtered": bm25_filtered, "filter_counts": filter_counts,
     "knn_l2": knn_l2, "knn_chunks": knn_chunks, "knn_dim_guard": knn_dim_guard, "knn_lsh": knn_lsh, "vectors_ram": _newest("RAM"), "vectors_hybrid": _newest("HYBRID"), "vectors_disk": _newest("DISK"),
-    "stored_dimension": stored_dimension, "l2_normalise": l2_normalise, "mean_pool": mean_pool, "dummy_embed": dummy_embed, "rrf": rrf, "hybrid_search": hybrid, "hybrid_index": hybrid_index, "hybrid_postfilter": hybrid_postfilter,
+    "stored_dimension": stored_dimension, "l2_normalise": l2_normalise, "mean_pool": mean_pool, "dummy_embed": dummy_embed, "rrf": rrf, "hybrid_search": hybrid, "hybrid_scan": hybrid_scan, "hybrid_postfilter": hybrid_postfilter,
     "hybrid_prefilter": hybrid_prefilter, "hybrid_fallback": hybrid_fallback, "hybrid_keyword_error": hybrid_keyword_error, "references": references, "reference_counts": reference_counts, "definition": definition, "list_symbols": outline,
 }
 
@@ -283,6 +306,7 @@ ORACLE_SQL |= {
     "fts_postings": f"WITH {_T} SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n, min(pos) AS first_at FROM (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM t) GROUP BY term",
     "bm25_topk": f"WITH {_BM} SELECT id, round(rank, 6) AS rank FROM (SELECT * FROM r ORDER BY rank, id LIMIT 10)",
     "bm25_index": f"WITH {_BM} SELECT id, round(rank, 6) AS rank FROM r",
+    "fts_scan": f"WITH {_BM} SELECT id, round(rank, 6) AS rank FROM r",
     "bm25_filtered": f"WITH {_BM} SELECT id, round(rank, 6) AS rank FROM (SELECT r.* FROM r JOIN c ON c.id = r.id WHERE symbol_type = 'function' AND language = 'python' ORDER BY rank, id LIMIT 10)",
     "filter_counts": f"WITH {_C} SELECT type_filter, filters.language, scope, count(c.id) AS n FROM filters LEFT JOIN c ON (type_filter = '' OR symbol_type = type_filter) AND (filters.language = '' OR c.language = filters.language) AND (scope = '' OR project_root = scope) GROUP BY 1, 2, 3",
     "knn_l2": "SELECT vec_id AS id, round(d, 6) AS distance FROM (SELECT a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY d, vec_id LIMIT 10)",
@@ -297,7 +321,7 @@ ORACLE_SQL |= {
     "dummy_embed": "SELECT DISTINCT id, 384 AS dimension, 0.0::DOUBLE AS total FROM chunks",
     "rrf": _RRF + " SELECT id, round(score, 9) AS score FROM u",
     "hybrid_search": _HYBRID,
-    "hybrid_index": _HYBRID,
+    "hybrid_scan": _HYBRID,
     "hybrid_postfilter": _HYBRID.replace("FROM r ORDER", f"FROM r WHERE id IN ({_LANG}) ORDER") + " WHERE language = 'python'",
     "hybrid_prefilter": _HYBRID.replace("FROM n ORDER", f"FROM n WHERE id IN ({_LANG}) ORDER").replace("FROM r ORDER", f"FROM r WHERE id IN ({_LANG}) ORDER"),
     "hybrid_fallback": f"WITH {_BM} SELECT c.id, start_line, end_line, symbol_name, symbol_type, round(rank, 6) AS score, 'keyword' AS type FROM (SELECT * FROM r ORDER BY rank, id LIMIT 10) k JOIN c ON c.id = k.id",
