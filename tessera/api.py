@@ -95,8 +95,9 @@ class Engine:
         touched = gone.unionByName(todo.select("path"))
         old_files = tables["files"].join(touched, "path", "left_semi").select(F.col("id").alias("file_id"))
         old = materialize(tables["chunks"].join(old_files, "file_id", "left_semi").select("id", "file_id"), "old")
-        new = embed_chunks(chunk_files(todo), self.embedder).join(files.select("path", F.col("id").alias("file_id")), "path")
-        chunks = materialize(S.numbered_after(new, ["path", "ordinal"], S.top_id(tables["chunks"])), "chunks")
+        new = chunk_files(todo).join(files.select("path", F.col("id").alias("file_id")), "path")
+        # numbered first: a range partitioning runs what is below it twice, which would ask the back end twice
+        chunks = materialize(embed_chunks(S.numbered_after(new, ["path", "ordinal"], S.top_id(tables["chunks"])), self.embedder), "chunks")
         texts = todo.join(files.select("path", F.col("id").alias("file_id")), "path").withColumn("language", X.language(F.col("path")))
         fresh = S.first_chunk_links(chunks, call_table(texts, "file_id", "long"))
         links = S.numbered_after(fresh, ["from_chunk_id", "to_symbol_name"], S.top_id(tables["symbol_links"]))

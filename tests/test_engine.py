@@ -183,6 +183,22 @@ def test_another_dimension(spark, tmp_path):
     assert other.scan(str(root)) == 2 and {len(r["embedding"]) for r in other.store.table("chunks").collect()} == {24}
 
 
+def test_each_text_is_embedded_once(spark, tmp_path):
+    root = project(tmp_path)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def transport(url, body, headers):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text(body["prompt"])
+        return {"embedding": [1.0, 2.0]}
+
+    e = Engine(spark, str(tmp_path / "i"), embedder=RemoteEmbedder("m", transport=transport, size=2))
+    e.watch_add(str(root))
+    assert sorted(p.read_text() for p in calls.iterdir()) == sorted(r["content"] for r in e.store.table("chunks").collect())
+
+
 def test_missing_vectors(spark, tmp_path):
     root = project(tmp_path)
     e = Engine(spark, str(tmp_path / "i"), embedder=RemoteEmbedder("m", transport=lambda *a: {}))
